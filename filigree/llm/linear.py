@@ -60,7 +60,26 @@ def featurizer(bits: int = BITS):
     return places
 
 
-def ftrl(rows, classes: int, bits: int = BITS, epochs: int = EPOCHS):
+def presence(bits: int = BITS):
+    """text -> (places, values): which words, beginnings of five letters and word shapes it has, all of one weight."""
+    import numpy as np
+    from zlib import crc32
+
+    def make(word):
+        own = word.lower().strip(".,;:!?\"'()[]")
+        return tuple(1 + crc32(x.encode()) % ((1 << bits) - 1) for x in (own, "<" + own[:5], "#" + shape(word)))
+
+    ids = WordIds(make)
+
+    def places(text):
+        got = set().union(*map(ids.__getitem__, set((text or "").split())))
+        at = np.fromiter(sorted(got), np.int64, len(got))
+        return np.concatenate(([0], at)), np.concatenate(([1.0], np.full(len(at), 0.3)))
+
+    return places
+
+
+def ftrl(rows, classes: int, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, l1: float = L1):
     """Weights (classes, 2 ** bits) from [(places, values, targets)]; targets: an array of 0 or 1 for each class."""
     import numpy as np
 
@@ -68,33 +87,34 @@ def ftrl(rows, classes: int, bits: int = BITS, epochs: int = EPOCHS):
     for _ in range(epochs):
         for at, x, y in rows:
             zi, ni = z[:, at], n[:, at]
-            wi = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / alpha + L2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
             g = (p - y)[:, None] * x
             more = ni + g * g
-            z[:, at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * wi
+            z[:, at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / alpha * wi
             n[:, at] = more
     for k in range(classes):
-        w[k] = np.where(np.abs(z[k]) <= L1, 0.0, (np.sign(z[k]) * L1 - z[k]) / ((BETA + np.sqrt(n[k])) / ALPHA + L2))
+        w[k] = np.where(np.abs(z[k]) <= l1, 0.0, (np.sign(z[k]) * l1 - z[k]) / ((BETA + np.sqrt(n[k])) / alpha + L2))
     return w.astype(np.float32)
 
 
 @dataclass
 class Linear:
-    """weights: (classes, 2 ** bits); rows: how many labelled rows it was trained on."""
+    """weights: (classes, 2 ** bits); rows: how many labelled rows it was trained on; features: what makes places of a text."""
 
     weights: object
     rows: int
+    features: object = featurizer
 
     def scores(self, spark, text: Column) -> Column:
         """An array column: the logistic score of each class."""
-        held = spark.sparkContext.broadcast(self.weights)  # at most classes * 2 ** BITS * 4 bytes
+        held, features = spark.sparkContext.broadcast(self.weights), self.features  # at most classes * 2 ** BITS * 4 bytes
 
         def work():
             import numpy as np
             import pyarrow as pa
 
-            places, w = featurizer(), held.value
+            places, w = features(), held.value
 
             def each(texts):
                 out = np.empty((len(texts), len(w)))
@@ -109,23 +129,23 @@ class Linear:
         return per_text(work, "array<double>")(text)
 
 
-def trained(sample: DataFrame, classes: int = 1, bits: int = BITS, epochs: int = EPOCHS) -> Linear:
+def trained(sample: DataFrame, classes: int = 1, bits: int = BITS, epochs: int = EPOCHS, features=featurizer, alpha: float = ALPHA, l1: float = L1) -> Linear:
     """Trains on sample(doc_id, text, y): y is 0 or 1 for one class, else the number of the class."""
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
-        places, rows = featurizer(bits), []
+        places, rows = features(bits), []
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 target = np.array([float(y)]) if classes == 1 else (np.arange(classes) == y).astype(float)
                 rows.append((*places(text), target))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([ftrl(rows, classes, bits, epochs).tobytes()], pa.binary())], names=["n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([ftrl(rows, classes, bits, epochs, alpha, l1).tobytes()], pa.binary())], names=["n", "weights"])
 
     one = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("by")).repartition(1).sortWithinPartitions("by")
     got = one.select("text", "y").mapInArrow(run, "n long, weights binary").collect()
     if not got:
-        return Linear(np.zeros((classes, 1 << bits), np.float32), 0)
-    return Linear(np.frombuffer(got[0]["weights"], np.float32).reshape(classes, 1 << bits), got[0]["n"])
+        return Linear(np.zeros((classes, 1 << bits), np.float32), 0, features)
+    return Linear(np.frombuffer(got[0]["weights"], np.float32).reshape(classes, 1 << bits), got[0]["n"], features)

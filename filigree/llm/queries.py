@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import media, quality, simhash
+from filigree.llm import decontaminate, language, lines, media, mixing, pii, quality, sharding, simhash, toxicity
 from filigree.llm.common import fold, table
 
 
@@ -18,6 +18,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.with_media(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+    base = F.filter("found", lambda x: x["base"])
+    number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.quality(docs.select("doc_id", "text"), quality.fitted(docs, table(spark, sf_dir, "labels")))
@@ -25,5 +34,38 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_media, op6_quality)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    score = F.col("filigree_score")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("filigree_lines").alias("n_lines"), F.col("filigree_removed").alias("n_removed"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language.identified(docs.select("doc_id", "text"), language.fitted(docs, fold(4) != 2))
+    found = F.col("filigree_lang")
+    return named.select("doc_id", (fold(4) == 2).alias("held_out"), found["lang"].alias("lang_pred"), found["score"].alias("score"), found["rejected"].alias("rejected"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_media, op3_sharding, op4_mixing, op5_pii, op6_quality, op7_decontaminate, op8_toxicity, op9_lines, op10_language)}
 ORACLE: dict[str, str] = {}
