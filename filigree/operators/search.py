@@ -18,8 +18,9 @@ BLOCK = 4096
 
 def postings(passages: DataFrame) -> DataFrame:
     """(ord, term, tf, dl); dl counts all tokens of the passage."""
-    toks = tokens(F.col("text"))
-    rows = passages.select("ord", F.size(toks).alias("dl"), F.explode(toks).alias("term"))
+    # Lengths are taken below the explode: beside it they would be computed again for each token.
+    rows = passages.select("ord", tokens(F.col("text")).alias("t")).select("ord", "t", F.size("t").alias("dl"))
+    rows = rows.select("ord", "dl", F.explode("t").alias("term"))
     return rows.groupBy("ord", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -102,7 +103,7 @@ def resolved(questions: DataFrame, tickers: DataFrame, aliases: dict[str, str])
     """(qid, scope): the first ticker in order that stands as a word in the question, else the first alias in it whose ticker exists, else null."""
     up = F.upper("question")
     names = tickers.select("ticker").distinct()
-    by_word = questions.join(F.broadcast(names), up.rlike(F.concat(F.lit(r"\b"), F.regexp_replace("ticker", r"([^A-Za-z0-9_])", r"\\\\$1"), F.lit(r"\b"))))
+    by_word = questions.join(F.broadcast(names), F.rlike(up, F.concat(F.lit(r"\b\Q"), "ticker", F.lit(r"\E\b"))))
     found = by_word.select("qid", F.lit(0).alias("tier"), F.lit(0).alias("place"), "ticker")
     if aliases:
         rows = [(i, name, t) for i, (name, t) in enumerate(aliases.items())]
@@ -114,14 +115,21 @@ def resolved(questions: DataFrame, tickers: DataFrame, aliases: dict[str, str])
 
 
 def lexical_overlap(question: F.Column, passage: F.Column) -> F.Column:
-    """0.75 * share of question terms found + 0.25 * closeness of their places (0.5 for fewer than two places); 0 if either has no token."""
-    q, d = F.array_distinct(tokens(question)), tokens(passage)
+    """Of two token arrays, which must be columns made in a step before (else they are computed for each token):
+    0.75 * share of question terms found + 0.25 * closeness of their places (0.5 for fewer than two places); 0 if either has no token."""
+    q, d = question, passage
     places = F.filter(F.transform(d, lambda t, i: F.when(F.array_contains(q, t), i)), lambda i: i.isNotNull())
     share = F.size(F.array_intersect(q, d)) / F.size(q)
     near = F.when(F.size(places) >= 2, 1 / (1 + (F.array_max(places) - F.array_min(places)) / F.size(d))).otherwise(0.5)
     return F.when((F.size(q) == 0) | (F.size(d) == 0), 0.0).otherwise(0.75 * share + 0.25 * near)
 
 
+def overlap_scores(rows: DataFrame) -> DataFrame:
+    """rows (question, text, ...) with the lexical score, six digits."""
+    rows = rows.withColumns({"_q": F.array_distinct(tokens(F.col("question"))), "_d": tokens(F.col("text"))})
+    return rows.withColumn("score", F.round(lexical_overlap(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """(qid, ord, score, rank): the k nearest vectors by inner product for each query, exact.
 

@@ -47,8 +47,8 @@ def hits(config: Config, questions: DataFrame, passages: DataFrame, scope: DataF
         if config.diversify:
             cut_ids = search.diversified(_sparse_as_dense(texts), max(config.top_k, 10))
             texts = texts.join(cut_ids.select("qid", "ord"), ["qid", "ord"], "left_semi")
-        score = F.round(search.lexical_overlap(F.col("question"), F.col("text")), 6)
-        cut = search.top(texts.select("qid", "ord", "ticker", score.alias("score"), F.col("rank").alias("before")), config.top_k, "before")
+        texts = search.overlap_scores(texts.withColumnRenamed("rank", "before"))
+        cut = search.top(texts.select("qid", "ord", "ticker", "score", "before"), config.top_k, "before")
         stage = "rerank"
     out = cut.where(F.col("rank") <= config.top_k).select(F.lit(config.name).alias("config"), "qid", "ord", "ticker", "score", F.lit(stage).alias("stage"), "rank")
     best = out.groupBy("qid").agg(F.max("score").alias("best"))
