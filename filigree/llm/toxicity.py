@@ -8,8 +8,8 @@ prefix of a word can be at form one state; states are made when first met, so a
 
 Each match is looked at in a window of WINDOW words on either side: quotation signs around it or a verb
 of saying before it mark it as quoted, and quoted matches weigh less. The document score is logistic in
-the counts of exact and misspelled, plain and quoted matches; its weights are fitted to the sample under
-a prior. Misspelled matches count by how often they were toxic for that term and distance in the sample.
+the counts of plain and quoted matches; its weights are fitted to the sample under a prior. A misspelled
+match counts in part, by how often such matches of its term and distance were toxic in the sample.
 
 Empty or null text: no match. Rows without doc_id are scored, never learned from. No labelled row: the
 lexicon is empty and all scores are equal. Whole texts are read; extra columns are kept.
@@ -32,8 +32,10 @@ SAYING = frozenset("said says wrote writes called calls quoted reported dit écr
 QUOTES = "\"'“”„«»‘’`"
 #: Signs around a word that are not part of it.
 EDGES = ".,;:!?()[]{}<>|#%&$*+-=_~/\\…" + QUOTES
-#: Prior of the score: constant, exact, misspelled, quoted exact, quoted misspelled; and how strong it is.
-PRIOR, STRENGTH = (-4.0, 6.0, 4.0, 1.0, 0.5), 0.05
+#: Prior of the score: constant, plain, quoted matches; and how strong it is.
+PRIOR, STRENGTH = (-4.0, 6.0, 1.0), 0.05
+#: What a misspelled match counts where the sample has none of its term, by edits.
+TRUST = {1: 0.75, 2: 0.4}
 
 
 def bare(word: str) -> str:
@@ -200,10 +202,10 @@ class Toxicity:
         return WordIds(lambda w: matcher.match(bare(w)))
 
     def features(self, text: str | None, found: WordIds) -> list[float]:
-        """Constant and saturating counts: plain exact, plain misspelled, quoted exact, quoted misspelled."""
-        n = [0.0] * 4
+        """Constant and saturating counts of plain and of quoted matches; a misspelled one counts as its trust."""
+        n = [0.0, 0.0]
         for _, term, edits, in_quotes in hits(text, found):
-            n[2 * in_quotes + (edits > 0)] += self.trust.get((term, edits), 0.5) if edits else 1.0
+            n[in_quotes] += self.trust.get((term, edits), TRUST[edits]) if edits else 1.0
         return [1.0, *(min(1.0, x) + 0.25 * math.log1p(x) for x in n)]
 
     def scores(self, spark, text: Column) -> Column:
