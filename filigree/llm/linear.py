@@ -11,6 +11,7 @@ labelled row the model is empty (`rows` = 0) and every score is 0.5.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +23,23 @@ BITS, ROWS, EPOCHS = 18, 6000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.0
 
 
+class Kinds(dict):
+    """Code point -> sign of its kind, for str.translate."""
+
+    def __missing__(self, point):
+        c = chr(point)
+        self[point] = kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+KINDS, RUN = Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
-    out = []
-    for c in word:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:12])
+    """The kinds of a word's signs, runs as one sign; at most 12."""
+    if word.isalpha() and word.islower():
+        return "a"
+    return RUN.sub(r"\1", word.translate(KINDS))[:12]
 
 
 def word_id(word: str) -> int:
@@ -65,16 +76,24 @@ def presence(bits: int = BITS):
     import numpy as np
     from zlib import crc32
 
+    most = (1 << bits) - 1
+    place = lambda x: 1 + crc32(x.encode()) % most
+    starts, shapes = WordIds(lambda start: place("<" + start)), WordIds(lambda look: place("#" + look))
+
     def make(word):
         own = word.lower().strip(".,;:!?\"'()[]")
-        return tuple(1 + crc32(x.encode()) % ((1 << bits) - 1) for x in (own, "<" + own[:5], "#" + shape(word)))
+        return place(own), starts[own[:5]], shapes[shape(word)]
 
     ids = WordIds(make)
 
     def places(text):
         got = set().union(*map(ids.__getitem__, set((text or "").split())))
-        at = np.fromiter(sorted(got), np.int64, len(got))
-        return np.concatenate(([0], at)), np.concatenate(([1.0], np.full(len(at), 0.3)))
+        at = np.empty(len(got) + 1, np.int64)
+        at[0], at[1:] = 0, np.fromiter(got, np.int64, len(got))
+        at.sort()  # every other place is above 0
+        values = np.full(len(at), 0.3)
+        values[0] = 1.0
+        return at, values
 
     return places
 
