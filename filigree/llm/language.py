@@ -190,13 +190,18 @@ def fitted(docs: DataFrame, keep: Column | None = None, rows: int = ROWS) -> Lan
     from_rows = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null")
     if keep is not None:
         from_rows = from_rows.where(keep)
+    sizes = from_rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # The smallest `rows` hashes of a language lie among those below twice their expected reach, so only these are sorted.
+    near = F.xxhash64("doc_id") / 2.0**64 + 0.5 < (2.0 * rows + 100) / F.col("n")
+    sizes = spark.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n long")
+    from_rows = from_rows.join(F.broadcast(sizes), "lang").where(near).select("doc_id", "lang").distinct()
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = from_rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= rows)
     ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "place")
     texts = docs.select("doc_id", "lang", "text").where("text is not null")
     sample = texts.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "place", "text")
-    if ids.select("of").distinct().count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
 
     def learn(group):
         import pyarrow as pa
@@ -209,9 +214,11 @@ def fitted(docs: DataFrame, keep: Column | None = None, rows: int = ROWS) -> Lan
     got = sorted(sample.groupBy("lang").applyInArrow(learn, "lang string, model binary").collect(), key=lambda r: r["lang"])
     out = Languages([r["lang"] for r in got], [pickle.loads(r["model"]) for r in got], [float("inf")] * len(got))
     if got:
-        seen = sample.where("place % 5 = 0").select("lang", out.predict(spark, F.col("text")).alias("p")).where("p.lang = lang")
-        limits = {r["lang"]: r["most"] for r in seen.groupBy("lang").agg(F.percentile("p.cross_entropy", F.lit(0.99)).alias("most")).collect()}
-        out.limits = [limits.get(n, float("inf")) for n in out.names]
+        seen = sample.where("place % 5 = 0").select("lang", out.predict(spark, F.col("text")).alias("p"))
+        # No filter on p: it would move below the join, and every document would be predicted.
+        own = F.when(F.col("p.lang") == F.col("lang"), F.col("p.cross_entropy"))
+        limits = {r["lang"]: r["most"] for r in seen.groupBy("lang").agg(F.percentile(own, F.lit(0.99)).alias("most")).collect()}
+        out.limits = [float("inf") if limits.get(n) is None else limits[n] for n in out.names]
     return out
 
 
