@@ -67,7 +67,8 @@ def later_copies(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) ->
 def deduplicated(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """docs with the later copies of repeated runs taken out of text, and filigree_lines, filigree_removed: numbers of lines."""
     removed = stored(later_copies(docs, words, longest)).withColumnsRenamed({"k1": "filigree_k1", "k2": "filigree_k2", "removed": "filigree_gone"})
-    out = keyed(docs).join(removed, ["filigree_k1", "filigree_k2"], "left")
+    # removed grows with the documents: never broadcast, so the plan is the same at every size.
+    out = keyed(docs).join(removed.hint("merge"), ["filigree_k1", "filigree_k2"], "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("filigree_gone", i)), "\n")
     columns = [F.when(F.col("filigree_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns]
