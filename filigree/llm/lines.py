@@ -32,7 +32,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = keyed(docs).where("text is not null").select(F.col("filigree_k1").alias("k1"), F.col("filigree_k2").alias("k2"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("k1", "k2", "doc_id", "pos", F.xxhash64("line").alias("name"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
     lines = stored(lines)
-    twice = lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # Written first, so that the join reads two plain shuffles, whose skewed partitions Spark can split: a line may be very common.
+    twice = stored(lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     return lines.join(twice, "name")
 
 
@@ -59,7 +60,8 @@ def later_copies(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) ->
     rows = stored(rows.select("k1", "k2", "doc_id", "pos", F.explode(runs).alias("run")).select("k1", "k2", "doc_id", "pos", "run.size", "run.name"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "pos")
     first = rows.groupBy("size", "name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    copies = rows.join(first.select("size", "name", "first"), ["size", "name"]).where(place != F.col("first"))
+    first = stored(first.select("size", "name", "first"))  # for the same reason
+    copies = rows.join(first, ["size", "name"]).where(place != F.col("first"))
     spans = copies.select("k1", "k2", F.sequence("pos", F.col("pos") + F.col("size") - 1).alias("span")).distinct()
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("span")))).alias("removed"))
 
