@@ -23,6 +23,12 @@ from filigree.llm.common import stored
 WORDS, LONGEST = 20, 64
 
 
+def sizes(longest: int = LONGEST) -> list[int]:
+    """The lengths of run, in lines, that get names: 1, 2, 3, 4, 6, 8, 12 ... up to longest."""
+    powers = [1 << k for k in range(longest.bit_length())]
+    return sorted(n for p in powers for n in {p, 3 * p} if n <= longest)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("filigree_k1", F.xxhash64("doc_id", "text")).withColumn("filigree_k2", F.xxhash64(F.lit(7), "doc_id", "text"))
 

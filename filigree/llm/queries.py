@@ -68,4 +68,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_media, op3_sharding, op4_mixing, op5_pii, op6_quality, op7_decontaminate, op8_toxicity, op9_lines, op10_language)}
-ORACLE: dict[str, str] = {}
+
+#: Words of an expression as op7 takes them.
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, w, least({decontaminate.SIZE}, len(w)) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS gram FROM b, unnest(range(1, len(w) - n + 2)) AS t(p)),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+o AS (SELECT k, n, p, array_to_string(w[p : p + n - 1], ' ') AS gram FROM d, (SELECT DISTINCT n FROM g) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(p)),
+m AS (SELECT k, item_id, p, n FROM o JOIN g USING (n, gram)),
+h AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS place FROM m) GROUP BY k),
+f AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN f USING (k)
+"""
+
+#: Different texts of one doc_id, which no table here has, come in the order of their text.
+OP9_SQL = rf"""
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_transform(l, lambda x: len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))) AS n FROM d),
+s AS (SELECT unnest({lines.sizes(lines.LONGEST)}) AS size),
+r AS (SELECT doc_id, text, size, p, md5(array_to_string(l[p : p + size - 1], chr(10))) AS run FROM w, s, unnest(range(1, len(l) - size + 2)) AS t(p) WHERE list_sum(n[p : p + size - 1]) >= {lines.WORDS}),
+c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY size, run ORDER BY doc_id NULLS LAST, text, p) > 1),
+g AS (SELECT doc_id, text, list(DISTINCT place) AS gone FROM (SELECT doc_id, text, unnest(range(p, p + size)) AS place FROM c) GROUP BY doc_id, text)
+SELECT a.doc_id, CASE WHEN gone IS NULL THEN a.text ELSE array_to_string(list_filter(string_split(a.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text,
+       CAST(coalesce(len(string_split(a.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed
+FROM documents a LEFT JOIN g ON a.doc_id IS NOT DISTINCT FROM g.doc_id AND a.text = g.text
+"""
+
+#: XXH64, JPEG coding, trained models and label propagation have no SQL form.
+ORACLE: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op9_lines": OP9_SQL}
