@@ -68,6 +68,63 @@ WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 PIECES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.:;])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> '')"
 
 
+def greedy(source: str, most: int, extra: int, carry: bool, to: str) -> str:
+    """CTEs over source (id, i, piece), i from 1: `to` (id, chunk, texts) packs pieces greedily.
+
+    start: length before a piece. A piece that begins a chunk reaches as far as `most` allows from there, or from
+    the piece before it where that is carried on; the recursion then steps from chunk to chunk.
+    """
+    back = "coalesce(lag(length(piece)) OVER (PARTITION BY id ORDER BY i), 0)" if carry else "0"
+    first = "r.i - CASE WHEN r.chunk > 0 THEN 1 ELSE 0 END" if carry else "r.i"
+    return f"""{to}_b AS (SELECT *, sum(length(piece) + {extra}) OVER (PARTITION BY id ORDER BY i) - length(piece) - {extra} AS start, {back} AS back FROM {source}),
+{to}_e AS (SELECT id, i, CAST(start AS BIGINT) AS start, CAST(greatest({most} - back, 0) AS BIGINT) AS reach FROM {to}_b
+  UNION ALL SELECT id, max(i) + 1, CAST(max(start + length(piece) + {extra}) AS BIGINT), 0 FROM {to}_b GROUP BY id),
+{to}_n AS (SELECT id, i, i + greatest(1, count(*) OVER (PARTITION BY id ORDER BY start RANGE BETWEEN CURRENT ROW AND reach FOLLOWING) - 1) AS nxt, i = max(i) OVER (PARTITION BY id) AS ended FROM {to}_e),
+{to}_r AS (SELECT id, 0 AS chunk, i, nxt FROM {to}_n WHERE i = 1 AND NOT ended
+  UNION ALL SELECT g.id, r.chunk + 1, g.i, g.nxt FROM {to}_r r JOIN {to}_n g ON g.id = r.id AND g.i = r.nxt WHERE NOT g.ended),
+{to} AS (SELECT r.id, r.chunk, list(piece ORDER BY p.i) AS texts FROM {to}_r r JOIN {source} p ON p.id = r.id AND p.i < r.nxt AND p.i >= {first} GROUP BY r.id, r.chunk)"""
+
+
+def cut_pieces(rows: str, most: int) -> str:
+    """CTEs over rows (id, para, text): hs (id, para, part, piece), where what is longer than `most` is cut between words."""
+    return rf"""wo AS (SELECT (id, para) AS id, unnest(w) AS piece, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM {rows} WHERE length(text) > {most})),
+{greedy("wo", most, 1, False, "wk")},
+hs AS (SELECT id[1] AS id, id[2] AS para, chunk AS part, array_to_string(texts, ' ') AS piece FROM wk UNION ALL SELECT id, para, 0, text FROM {rows} WHERE length(text) <= {most})"""
+
+
+PACKED = f"""
+pa AS (SELECT doc_id AS id, unnest(p) AS text, unnest(range(0, len(p))) AS para FROM (SELECT doc_id, {PIECES} AS p FROM documents)),
+{cut_pieces("pa", 1200)},
+pk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY para, part) AS i, piece FROM hs),
+{greedy("pk", 1200, 0, True, "ck")},
+sk AS (SELECT id, CAST(chunk AS INT) AS chunk, source || ' 10-K - Item ' || lang || '. ' || array_to_string(texts, ' ') AS text FROM ck JOIN documents ON doc_id = id)"""
+
+
+def mmr(k: int, weight: float) -> str:
+    """CTEs over ca (qid, ord, score, rank): m1 to mk, the row each step of marginal relevance takes."""
+    out = ["pr AS (SELECT a.qid, a.ord, b.ord AS taken, list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS near FROM ca a JOIN ca b USING (qid) JOIN v x ON x.ord = a.ord JOIN v y ON y.ord = b.ord)"]
+    out.append("m1 AS (SELECT qid, ord, 1 AS place FROM ca QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) = 1)")
+    out.append("t1 AS (FROM m1)")
+    for i in range(2, k + 1):
+        worst = f"(SELECT qid, ord, max(near) AS worst FROM pr JOIN (SELECT qid, ord AS taken FROM t{i - 1}) USING (qid, taken) GROUP BY qid, ord)"
+        out.append(f"m{i} AS (SELECT qid, ord, {i} AS place FROM ca JOIN {worst} USING (qid, ord) WHERE (qid, ord) NOT IN (SELECT (qid, ord) FROM t{i - 1}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {weight}::DOUBLE * score - {round(1 - weight, 6)}::DOUBLE * worst DESC, rank) = 1)")
+        out.append(f"t{i} AS (FROM t{i - 1} UNION ALL FROM m{i})")
+    return ", ".join(out)
+
+
+#: The stretch between two headings, as three lazy patterns.
+LEGACY = {
+    "business": (r"item\s+1[.\s]?business|business\s+overview", r"item\s+1a|risk\s+factors|end of item", 10000),
+    "risks": (r"item\s+1a[.\s]?risk\s+factors|risk\s+factors", r"unresolved|financial|item\s+2|item\s+1b", 10000),
+    "md_and_a": (r"item\s+7[.\s]?md&a|management.{0,50}discussion|md&a", r"item\s+8|financial\s+statements|consolidated\s+statements", 15000),
+}
+
+
+def legacy(opens: str, closes: str, most: int) -> str:
+    body = f"length(trim(regexp_extract(text, '(?is)(?:{opens})(.*?)(?:{closes})', 1)))"
+    return f"CASE WHEN {body} > 100 THEN CAST(least({body}, {most}) AS INT) ELSE 0 END"
+
+
 def windows(early: bool) -> str:
     last = "CASE WHEN n <= 100 THEN 0 ELSE CAST(ceil((n - 100) / 90) AS INT) END" if early else "CAST(ceil(n / 90) AS INT) - 1"
     return f"""WITH w AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), c AS (SELECT id, w, len(w) AS n FROM w WHERE len(w) > 0),
@@ -162,6 +219,15 @@ ORACLE = {
     "word_window_chunks": windows(True),
     "legacy_chunks": windows(False),
     "paragraph_split": f"SELECT doc_id AS id, CAST(len({PIECES}) AS INT) AS n, CAST(coalesce(list_max(list_transform({PIECES}, lambda x: length(x))), 0) AS INT) AS longest, md5(array_to_string({PIECES}, '|')) AS digest FROM documents",
+    "hard_split": rf"WITH RECURSIVE co AS (SELECT doc_id AS id, 0 AS para, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents), {cut_pieces('co', 300)} SELECT id, CAST(part AS INT) AS part, CAST(length(piece) AS INT) AS n_chars, md5(piece) AS digest FROM hs",
+    "section_aware_chunks": f"WITH RECURSIVE {PACKED} SELECT id, chunk, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM sk",
+    "chunk_stats": rf"""WITH RECURSIVE {PACKED},
+      wn AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+      ww AS (SELECT w, unnest(range(0, CASE WHEN len(w) <= 500 THEN 1 ELSE CAST(ceil((len(w) - 500) / 450) AS INT) + 1 END)) AS c FROM wn WHERE len(w) > 0),
+      al AS (SELECT 'word_window' AS strategy, length(array_to_string(w[c * 450 + 1 : c * 450 + 500], ' ')) AS n FROM ww UNION ALL SELECT 'section_aware', length(text) FROM sk)
+      SELECT strategy, count(*) AS chunks, CAST(floor(sum(n) / count(*)) AS BIGINT) AS mean_chars, CAST(min(n) AS INT) AS min_chars, CAST(max(n) AS INT) AS max_chars FROM al GROUP BY strategy""",
+    "legacy_sections": f"WITH {MADE}, lf AS (SELECT id, replace(replace(text, 'Item 1. ', 'Item 1. Business '), 'Item 1A. ', 'Item 1A. Risk Factors ') AS text FROM mf) SELECT id, {', '.join(f'{legacy(*x)} AS {k}' for k, x in LEGACY.items())} FROM lf",
+    "mmr_select": f"WITH {NEAR.strip().rstrip(',')}, ca AS (SELECT qid, ord, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS INT) AS rank FROM s QUALIFY rank <= 40), {mmr(10, 0.7)} SELECT qid, ord, place FROM t10",
     "html_to_text": f"SELECT page_id, {HTML} AS text FROM pages",
     "toc_density_filter": f"WITH {HEADS} SELECT f.id, found, coalesce(kept, 0) AS kept, first FROM (SELECT id, count(*) AS found FROM hd GROUP BY id) f LEFT JOIN (SELECT id, count(*) AS kept, min(pos) AS first FROM hk GROUP BY id) k USING (id)",
     "section_spans": f"""WITH {HEADS}, sp AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY id ORDER BY pos), n) - pos AS span FROM hk),
