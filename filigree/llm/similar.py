@@ -1,0 +1,174 @@
+"""Near copies by the similarity of word shingles: the duplicate stage of the pipeline.
+
+Words as in simhash; a text's set is the distinct XXH64 hashes of its shingles of `width` words. Fewer words than
+`width`: the whole sequence is one shingle. Two texts are near copies if the Jaccard similarity of their
+sets is at least SHARE[0] / SHARE[1] (0.8), counted exactly.
+
+Candidates: BANDS keys of ROWS minimum hashes each. Two sets of similarity 0.8 share no key with probability
+(1 - 0.8 ** 5) ** 40, about 1.3e-7, more similar ones with less. Sets that hang together over equal keys are a block;
+in a block all pairs are compared, over the postings of their shingles, so that no pair is materialised. A block of
+more than `tile` shingles is cut into tiles by hash and each pair of tiles is a row of its own.
+
+Null or empty text: an empty set, and empty sets are copies of each other. Null doc_id and repeated rows: as in
+simhash.deduplicated. Empty table: empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from filigree.llm.common import components, slices, stored
+
+WIDTH, SHARE, BANDS, ROWS = 5, (4, 5), 40, 5
+TILE, SMALL = 1 << 18, 100_000
+
+
+def shingles(data: bytes, width: int = WIDTH):
+    """Sorted distinct hashes of the shingles of one UTF-8 text."""
+    import numpy as np
+    import xxhash
+
+    words = data.lower().split()
+    if len(words) < width:
+        grams = [b" ".join(words)] if words else []
+    else:
+        grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(g, 42) for g in grams], dtype=np.uint64))
+
+
+def factors():
+    """Odd multipliers; each product gives two minimum hashes of 32 bits."""
+    import numpy as np
+
+    return np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes, by) -> list[int]:
+    """A key for each band of a set that is not empty."""
+    import numpy as np
+    import xxhash
+
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, np.multiply.outer(hashes[at : at + (1 << 11)], by).view(np.uint32).min(axis=0))
+    parts = least.tobytes()
+    step = 4 * ROWS
+    return [xxhash.xxh64_intdigest(parts[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
+
+
+def marked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with sid (hash of the set) and keys in place of text."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        by = factors()
+        for part in slices(batches, "text"):
+            sids, keys = [], []
+            for t in part.column("text").cast(pa.binary()).to_pylist():
+                found = shingles(t or b"", width)
+                sids.append(xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63))
+                keys.append(band_keys(found, by) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*kept, "sid", "keys"])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def forest(sets: list, share: tuple[int, int] = SHARE) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of sets (sorted arrays) whose similarity is at least share[0] / share[1], as pairs of places."""
+    import numpy as np
+
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, term, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posted = owner[np.argsort(term, kind="stable")]
+    ends = np.cumsum(times)
+    starts, ends_of_set = ends - times, np.cumsum(sizes)
+    label, out = np.arange(n), []
+    for i in range(1, n):
+        own = term[ends_of_set[i] - sizes[i] : ends_of_set[i]]
+        own = own[times[own] > 1]
+        if not len(own):
+            continue
+        both = np.bincount(np.concatenate([posted[starts[t] : ends[t]] for t in own]), minlength=n)[:i]
+        # both / (a + b - both) >= p / q
+        near = np.flatnonzero((both > 0) & ((share[0] + share[1]) * both >= share[0] * (sizes[:i] + sizes[i])))
+        for root in np.unique(label[near]):
+            out.append((i, int(near[label[near] == root][0])))
+            label[label == root] = i
+    return out
+
+
+def links(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b): links between sets (block, sid, grams) that connect all near copies of each block."""
+    sets = sets.withColumn("n", F.size("grams").cast("long"))
+    k = sets.groupBy("block").agg(F.ceil(F.sum("n") / tile).cast("int").alias("k")).where("k > 1")
+    large = stored(k)
+    rows = sets.join(F.broadcast(large), "block", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("own")))))
+    groups = rows.groupBy("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "grams")).alias("sets"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column("sets")[k].values
+                sids, grams = np.asarray(own.field("sid")), own.field("grams")
+                if len(sids) > 1:
+                    pairs = forest([np.asarray(grams[i].values) for i in range(len(sids))])
+                    if pairs:
+                        a, b = np.array(pairs).T
+                        yield pa.RecordBatch.from_arrays([pa.array(sids[a]), pa.array(sids[b])], names=["a", "b"])
+
+    return groups.select("sets").mapInArrow(run, "a long, b long")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(sid, block) of the sets (sid, keys) that share a key with another one."""
+    rows = stored(sets.select("sid", F.explode("keys").alias("key")))
+    # Written first, as in lines: a key may be very common.
+    groups = stored(rows.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").select("key", "first"))
+    edges = rows.join(groups, "key").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    return components(edges).select(F.col("node").alias("sid"), F.col("root").alias("block"))
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
+    """docs with one row of each component of near copies: that of the smallest doc_id, then of the smallest text hash."""
+    hashed = F.xxhash64("text")
+    marks = stored(marked(docs.select("doc_id", "text", hashed.alias("hashed")), width))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed")
+    sets = stored(marks.groupBy("sid").agg(F.min(place).alias("place"), F.first("keys").alias("keys")))
+    found = stored(sets.select("sid", "place").join(candidates(sets), "sid").select("sid", "block", F.col("place.doc_id").alias("set_id"), F.col("place.hashed").alias("set_hash")))
+    small = lambda df: F.broadcast(df) if df.count() <= SMALL else df
+    same = hashed.eqNullSafe(F.col("set_hash")) & F.col("doc_id").eqNullSafe(F.col("set_id"))
+    texts = docs.select("doc_id", "text").join(small(found), same).select("block", "sid", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, "text"):
+            grams = [shingles(t, width).view("int64") for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("sid"), pa.array(grams, pa.list_(pa.int64()))], names=["block", "sid", "grams"])
+
+    grams = stored(texts.mapInArrow(run, "block long, sid long, grams array<long>"))
+    roots = components(links(grams, tile)).withColumnRenamed("node", "sid")
+    first = sets.select("sid", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    first = first.groupBy("root").agg(F.min("place").alias("place")).select("place")
+    keys = marks.groupBy(place.alias("place")).agg(F.count("*").alias("n")).join(first, "place", "left_semi")
+    keys = stored(keys.select(F.col("place.doc_id").alias("kept_id"), F.col("place.hashed").alias("kept_hash"), F.col("n").alias("kept_n")))
+    same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & hashed.eqNullSafe(keys["kept_hash"])
+    once = docs.join(keys.where("kept_n = 1"), same, "left_semi")
+    repeated = keys.where("kept_n > 1")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated, same).dropDuplicates(["kept_id", "kept_hash"]).select(*[docs[c] for c in docs.columns])
+    return once.union(again)
