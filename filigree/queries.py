@@ -126,11 +126,10 @@ def mmr_select(spark, d):
 
 
 def judged(spark, d) -> DataFrame:
-    """(qid, tags, got, tickers, expected): neighbours of each query vector; those of its label are relevant, at most the first five of the label."""
+    """(qid, tags, got, tickers, expected): neighbours of each query vector; all vectors of its label are relevant."""
     found = search.dense_top(vector_queries(spark, d), vectors(spark, d), 10).join(vectors(spark, d).select("ord", "label"), "ord")
     got = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "ord", "label"))).alias("x"))
-    first = Window.partitionBy("label").orderBy("ord")
-    relevant = vectors(spark, d).withColumn("r", F.row_number().over(first)).where("r <= 40").groupBy("label").agg(F.array_sort(F.collect_list("ord")).alias("relevant"))
+    relevant = vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list("ord")).alias("relevant"))
     rows = got.join(vector_queries(spark, d).select("qid", F.col("scope").alias("label")), "qid").join(relevant, "label")
     return rows.select("qid", F.col("label").alias("expected"), "relevant", F.transform("x", lambda r: r["ord"]).alias("got"), F.transform("x", lambda r: r["label"]).alias("labels"))
 
