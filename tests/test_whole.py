@@ -15,3 +15,16 @@ def test_all_vectors_of_a_label_are_relevant(spark, tmp_path):
     assert r.precision_5 == 1.0 and r.hit_1 == 1.0 and r.mrr == 1.0
     assert r.recall_5 == pytest.approx(5 / 61, abs=1e-6)
     assert {r.tag: r.hit for r in QUERIES["metrics_by_tag"](spark, str(tmp_path)).collect()} == {"label0": 1.0, "even": 1.0, "odd": 1.0}
+
+
+def test_every_passage_has_its_ranks(spark, tmp_path):
+    docs = [(i, f"alpha {'beta ' * (i % 4)}w{i}" if i % 3 else f"nothing w{i}", "src1", "en") for i in range(50)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "w7")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["rank_lists"](spark, str(tmp_path)).collect()
+    for q in (1, 2):
+        own = [r for r in rows if r.qid == q]
+        for rank in ("bm25_rank", "tfidf_rank"):
+            assert sorted(r[rank] for r in own) == list(range(50))
+    rest = sorted((r for r in rows if r.qid == 2 and r.ord != 7), key=lambda r: r.bm25_rank)
+    assert [r.ord for r in rest] == [i for i in range(50) if i != 7]  # ties in the order of ord
