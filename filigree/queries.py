@@ -25,8 +25,7 @@ def passages(spark, d) -> DataFrame:
 
 
 def questions(spark, d) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), first.alias("question"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def scopes(spark, d) -> DataFrame:
@@ -106,7 +105,7 @@ def rrf_scoped_topk(spark, d):
 
 @query
 def ticker_resolve(spark, d):
-    asked = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.col("role"), F.lit(" "), F.substring("text", 1, 200)).alias("question"))
+    asked = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(F.col("role"), F.lit(" "), F.col("text")).alias("question"))
     names = read(spark, d, "nation").select(F.upper("n_name").alias("ticker")).union(spark.createDataFrame([("USER",), ("ASK",)], "ticker string"))
     return search.resolved(asked, names, {"ASSIST": "ASK", "SYSTEM": "NONE"})
 

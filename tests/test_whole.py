@@ -28,3 +28,13 @@ def test_every_passage_has_its_ranks(spark, tmp_path):
             assert sorted(r[rank] for r in own) == list(range(50))
     rest = sorted((r for r in rows if r.qid == 2 and r.ord != 7), key=lambda r: r.bm25_rank)
     assert [r.ord for r in rest] == [i for i in range(50) if i != 7]  # ties in the order of ord
+
+
+def test_whole_items_and_turns_are_searched(spark, tmp_path):
+    lead = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, "lonely word"), (2, "zebra"), (3, "other")], "doc_id long, text string").selectExpr("doc_id", "text", "'src1' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{lead} zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.qid, r.ord) for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()] == [(1, 2)]
+    spark.createDataFrame([(1, 0, "bot", "x " * 150 + "in Peru today")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([("Peru",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert [r.scope for r in QUERIES["ticker_resolve"](spark, str(tmp_path)).collect()] == ["PERU"]
