@@ -1,12 +1,14 @@
 """Repeated line runs found over the suffixes of line-ID sequences by prefix doubling; only DataFrame operations.
 
-Every line has an ID (hash of the line). A suffix begins at each line that occurs twice or more. Doubling
-names the first 2, 4, 8 ... lines of each suffix by the pair of names of its halves, inside its document;
-equal names are the suffixes of one longest-common-prefix interval of at least so many lines (lengths
-3, 6, 12 ... come from two overlapping names). The array is kept as these intervals, not as one sorted list.
-In each interval of runs that have `words` words or more together, the suffix first in order of (doc_id,
-line) stays and the lines of all others are deleted; as intervals of all lengths count, maximal runs go as
-a whole. Runs longer than the longest length are met by the windows that slide over them.
+Every line has an ID (hash of the line). A suffix begins at each line that occurs twice or more; a stretch is a
+row of such lines without a gap. A run is deleted where it has `words` words or more and an earlier copy.
+
+No length is tried one by one. If a line lies in a run W with an earlier copy and `words` words, then it lies in a
+part of W that is a shortest one with `words` words, counted forward from its first line or backward from its last:
+the one that begins at the line, or the one that ends there, or, where neither fits into W, the last one forward that
+fits into W, which then holds the line. So two parts a line, forward and backward, decide over runs of every length.
+Equal parts are equal runs of lines, named by doubling: the names of the first and of the last 2^k lines, 2^k being
+the largest power within the part, and its length. Doubling goes as far as the longest part.
 
 Order: doc_id (null last), then hash of the text, then line. Null text: no lines, stays null. Empty text: one
 empty line. Rows that repeat both doc_id and text share one fate, as one document. Empty table: empty
@@ -24,7 +26,7 @@ WORDS, LONGEST = 20, 64
 
 
 def sizes(longest: int = LONGEST) -> list[int]:
-    """The lengths of run, in lines, that get names: 1, 2, 3, 4, 6, 8, 12 ... up to longest."""
+    """The lengths of run, in lines, that the SQL of op9 tries: 1, 2, 3, 4, 6, 8, 12 ... up to longest. The query has no such limit."""
     powers = [1 << k for k in range(longest.bit_length())]
     return sorted(n for p in powers for n in {p, 3 * p} if n <= longest)
 
@@ -43,38 +45,55 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return lines.join(twice, "name")
 
 
-def later_copies(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
+def parts(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(k1, k2, doc_id, pos, name, seg, ahead, back): for each repeated line the lengths of the shortest parts of `words` words that begin and that end there, null if none."""
+    rows = repeated_lines(docs)
+    rows = rows.withColumn("seg", F.col("pos") - F.row_number().over(Window.partitionBy("k1", "k2").orderBy("pos")))
+    stretch = Window.partitionBy("k1", "k2", "seg")
+    rows = rows.withColumn("upto", F.sum("words").over(stretch.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("before", F.col("upto") - F.col("words")).withColumn("ends", F.max("pos").over(stretch)).withColumn("starts", F.min("pos").over(stretch)).withColumn("total", F.max("upto").over(stretch))
+    # The first line with so many words before it, from the stretch's end; the last one with so few up to it, from its start.
+    beyond = F.min("pos").over(stretch.orderBy(-F.col("before")).rangeBetween(Window.unboundedPreceding, -words))
+    below = F.max("pos").over(stretch.orderBy("upto").rangeBetween(Window.unboundedPreceding, -words))
+    rows = rows.withColumn("beyond", beyond).withColumn("below", below)
+    end = F.coalesce(F.col("beyond") - 1, F.when(F.col("total") - F.col("before") >= words, F.col("ends")))
+    start = F.coalesce(F.col("below") + 1, F.when(F.col("upto") >= words, F.col("starts")))
+    return rows.select("k1", "k2", "doc_id", "pos", "name", "seg", (end - F.col("pos") + 1).alias("ahead"), (F.col("pos") - start + 1).alias("back"))
+
+
+def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(k1, k2, removed: line numbers) of documents with lines that repeat an earlier run."""
-    inside = Window.partitionBy("k1", "k2").orderBy("pos")
-    at = lambda c, k: F.max(c).over(inside.rangeBetween(k, k))  # noqa: E731  the value k lines on, null if that line is no candidate
-    rows = repeated_lines(docs).select("k1", "k2", "doc_id", "pos", F.col("name").alias("n1"), "words")
-    rows = rows.withColumn("w1", F.col("words"))
-    sizes, size = [1], 1
-    while 2 * size <= longest:
-        ahead, new = at(f"n{size}", size), 2 * size
-        rows = rows.withColumn(f"n{new}", F.when(ahead.isNotNull(), F.xxhash64(F.lit(new), f"n{size}", ahead)))
-        rows = rows.withColumn(f"w{new}", F.col(f"w{size}") + at(f"w{size}", size))
-        sizes.append(new)
-        if 3 * size <= longest:
-            ahead, new = at(f"n{2 * size}", size), 3 * size
-            rows = rows.withColumn(f"n{new}", F.when(ahead.isNotNull(), F.xxhash64(F.lit(new), f"n{2 * size}", ahead)))
-            rows = rows.withColumn(f"w{new}", F.col(f"w{2 * size}") + at(f"w{size}", 2 * size))
-            sizes.append(new)
-        size *= 2
-    runs = F.array(*[F.struct(F.lit(s).alias("size"), F.col(f"n{s}").alias("name"), F.col(f"w{s}").alias("words")) for s in sizes])
-    runs = F.filter(runs, lambda r: r["name"].isNotNull() & (r["words"] >= words))
-    rows = stored(rows.select("k1", "k2", "doc_id", "pos", F.explode(runs).alias("run")).select("k1", "k2", "doc_id", "pos", "run.size", "run.name"))
+    rows = stored(parts(docs, words))
+    longest = rows.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 1
+    along = Window.partitionBy("k1", "k2", "seg").orderBy("pos")
+    named, power = rows.withColumn("n0", F.col("name")), 0
+    while 2 << power <= longest:
+        named = named.withColumn(f"n{power + 1}", F.xxhash64(F.lit(power + 1), f"n{power}", F.lead(f"n{power}", 1 << power).over(along)))
+        power += 1
+    # The names of the parts that begin at a line and, 2^k - 1 lines on, end there.
+    opens = F.array(*[F.col(f"n{k}") for k in range(power + 1)])
+    closes = F.array(*[F.lag(f"n{k}", (1 << k) - 1).over(along) for k in range(power + 1)])
+    named = named.select("k1", "k2", "doc_id", "pos", "ahead", "back", opens.alias("opens"), closes.alias("closes"))
+    named = stored(named)
+    other = named.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("pos").alias("at"), F.col("opens").alias("other_opens"), F.col("closes").alias("other_closes"))
+    level = lambda n: F.floor(F.log2(n.cast("double") + 0.5)).cast("int")
+    ends = named.where("ahead is not null").withColumn("at", F.col("pos") + F.col("ahead") - 1)
+    starts = named.where("back is not null").withColumn("at", F.col("pos") - F.col("back") + 1)
+    met = lambda df: df.join(other.withColumnRenamed("at", "o_at").hint("merge"), (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")) & (F.col("at") == F.col("o_at")))
+    ahead = met(ends).select("k1", "k2", "doc_id", "pos", F.lit(0).alias("way"), F.col("ahead").alias("size"), F.xxhash64(F.col("opens")[level(F.col("ahead"))], F.col("other_closes")[level(F.col("ahead"))]).alias("name"))
+    back = met(starts).select("k1", "k2", "doc_id", F.col("at").alias("pos"), F.lit(1).alias("way"), F.col("back").alias("size"), F.xxhash64(F.col("other_opens")[level(F.col("back"))], F.col("closes")[level(F.col("back"))]).alias("name"))
+    rows = stored(ahead.union(back))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "pos")
-    first = rows.groupBy("size", "name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    first = stored(first.select("size", "name", "first"))  # for the same reason
-    copies = rows.join(first, ["size", "name"]).where(place != F.col("first"))
+    first = rows.groupBy("way", "size", "name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    first = stored(first.select("way", "size", "name", "first"))  # for the same reason
+    copies = rows.join(first, ["way", "size", "name"]).where(place != F.col("first"))
     spans = copies.select("k1", "k2", F.sequence("pos", F.col("pos") + F.col("size") - 1).alias("span")).distinct()
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("span")))).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with the later copies of repeated runs taken out of text, and filigree_lines, filigree_removed: numbers of lines."""
-    removed = stored(later_copies(docs, words, longest)).withColumnsRenamed({"k1": "filigree_k1", "k2": "filigree_k2", "removed": "filigree_gone"})
+    removed = stored(later_copies(docs, words)).withColumnsRenamed({"k1": "filigree_k1", "k2": "filigree_k2", "removed": "filigree_gone"})
     # removed grows with the documents: never broadcast, so the plan is the same at every size.
     out = keyed(docs).join(removed.hint("merge"), ["filigree_k1", "filigree_k2"], "left")
     lines = F.split("text", "\n", -1)

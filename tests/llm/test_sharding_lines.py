@@ -74,3 +74,18 @@ def test_lines_equal_brute_force(spark):
     assert found.pop(None) == (None, 0, 0)
     assert found == brute(rows)
     assert lines.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_runs_of_every_length_go_whole(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    runs = [[line(n) for _ in range(k)] for n, k in ((4, 5), (3, 7), (2, 11), (60, 1))]
+    runs[3] += [line(1) for _ in range(6)]  # the last of them has to go too
+    runs.append([line(1) if i % 4 == 0 else f"{' ' * i}" for i in range(100)])  # 25 words in 100 lines
+    runs.append([line(19)])  # too short
+    rows = [(2 * i + k, "\n".join([line(3), *run, line(3)])) for i, run in enumerate(runs) for k in (0, 1)]
+    pool = [line(rng.choice((0, 1, 2, 4, 9))) for _ in range(6)]
+    rows += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 40)))) for i in range(40)]
+    found = {r.doc_id: (r.text, r.filigree_lines, r.filigree_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows, sizes=range(1, 110))
+    assert [found[i][2] for i in range(0, 12)] == [0, 5, 0, 7, 0, 11, 0, 7, 0, 100, 0, 0]
