@@ -45,7 +45,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.array_join("near", ",").alias("near_items"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,18 @@ d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format("coalesce(text, '
 o AS (SELECT k, n, p, array_to_string(w[p : p + n - 1], ' ') AS gram FROM d, (SELECT DISTINCT n FROM g) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(p)),
 m AS (SELECT k, item_id, p, n FROM o JOIN g USING (n, gram)),
 h AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS place FROM m) GROUP BY k),
-f AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k)
+f AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k),
+t AS (SELECT k, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p) WHERE w[p] IN (SELECT unnest(w) FROM b)),
+c AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+v AS (SELECT row_number() OVER () AS v, * FROM (SELECT DISTINCT item_id, n, w[p : p + n - 1] AS w FROM b, unnest(range(1, len(w) - n + 2)) AS t(p))),
+l AS (SELECT v, x.n, item_id, j, word, row_number() OVER (PARTITION BY v ORDER BY coalesce(c.n, 0), encode(word), j) AS r FROM (SELECT v, n, item_id, j, w[j] AS word FROM v, unnest(range(1, n + 1)) AS t(j)) AS x LEFT JOIN c USING (word)),
+q AS (SELECT a.v, a.n, a.item_id, t.k, t.p - a.j AS d FROM l AS a JOIN t USING (word) WHERE a.r = 1),
+q2 AS (SELECT DISTINCT q.* FROM q JOIN l AS b ON b.v = q.v AND b.r = least(2, q.n) JOIN t ON t.k = q.k AND t.word = b.word AND abs(t.p - b.j - q.d) <= {decontaminate.SLACK}),
+y AS (SELECT q2.v, q2.n, q2.item_id, q2.k, q2.d FROM q2 JOIN l ON l.v = q2.v JOIN t ON t.k = q2.k AND t.word = l.word AND abs(t.p - l.j - q2.d) <= {decontaminate.SLACK} GROUP BY ALL HAVING count(DISTINCT l.j) >= q2.n - q2.n // 6),
+z AS (SELECT k, string_agg(item_id, ',' ORDER BY item_id) AS near FROM (SELECT DISTINCT k, item_id FROM y) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN f USING (k)
+       coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near, '') AS near_items
+FROM d LEFT JOIN h USING (k) LEFT JOIN f USING (k) LEFT JOIN z USING (k)
 """
 
 #: Different texts of one doc_id, which no table here has, come in the order of their text.

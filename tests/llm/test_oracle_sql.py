@@ -19,6 +19,8 @@ DOCS = [
     (7, f"before {ITEM.upper()} after"),
     (8, ITEM + " " + " ".join(f"w{i}" for i in range(900))),
     (9, "a short one, and a short one again"),
+    (11, ITEM.replace("theta", "theta put in")),
+    (12, "iota " + ITEM.replace("kappa ", "").replace(" pi", "")),
 ]
 BENCH = [(1, ITEM), (2, "a SHORT one"), (10, ITEM + " sigma"), (3, None), (4, "..."), (2, "other text of two")]
 
