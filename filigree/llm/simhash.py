@@ -23,31 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigree.llm.common import components, slices, stored
+from filigree.llm.common import components, dropped, slices, stored
 
 RADIUS, WIDTH, TILE = 2, 3, 4096
+#: Near copies by similarity of shingles: words a shingle, similarity as a fraction, bits, keys of a set, minima of a key, shingles of a tile.
+NEAR_WIDTH, SHARE, WIDE, BANDS, ROWS, NEAR_TILE = 5, (4, 5), 28, 30, 4, 1 << 18
 
 
-def fingerprint(data: bytes, width: int = WIDTH) -> int:
-    """Signed 64-bit SimHash of one UTF-8 text."""
+def shingle_hashes(data: bytes, width: int):
+    """XXH64 of the shingles of one UTF-8 text, repeats included."""
     import numpy as np
     import xxhash
 
     words = data.lower().split()
-    if not words:
-        return 0
     if len(words) < width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+
+
+def majority(hashes) -> int:
+    """Signed 64-bit SimHash of the hashes; zero if there are none."""
+    import numpy as np
+
+    hashes = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
+def fingerprint(data: bytes, width: int = WIDTH) -> int:
+    """Signed 64-bit SimHash of one UTF-8 text."""
+    return majority(shingle_hashes(data, width))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with fp in place of text."""
     kept = [c for c in docs.columns if c != "text"]
@@ -172,7 +184,13 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
     named = _named(docs.select("doc_id", "text", hashed.alias("hashed")), width, radius, tile)
     keys = named.groupBy("root", "doc_id", "hashed").agg(F.count("*").alias("n"))
     keys = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed", "n")).alias("key"))
-    keys = stored(keys.select(F.col("key.doc_id").alias("kept_id"), F.col("key.hashed").alias("kept_hash"), F.col("key.n").alias("kept_n")))
+    return rows_of(docs, keys.select(F.col("key.doc_id").alias("kept_id"), F.col("key.hashed").alias("kept_hash"), F.col("key.n").alias("kept_n")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs for each of keys (kept_id, kept_hash: of its text, kept_n: how many rows have both)."""
+    keys = stored(keys)
+    hashed = F.xxhash64("text")
     same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & hashed.eqNullSafe(keys["kept_hash"])
     once = docs.join(keys.where("kept_n = 1"), same, "left_semi")
     repeated = keys.where("kept_n > 1")
@@ -180,3 +198,184 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
         return once
     again = docs.join(repeated, same).dropDuplicates(["kept_id", "kept_hash"]).select(*[docs[c] for c in docs.columns])
     return once.union(again)
+
+
+def minima():
+    """A function of a set that is not empty: its BANDS keys, each of ROWS minimum hashes of 32 bits."""
+    import numpy as np
+    import xxhash
+
+    by = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(hashes) -> list[int]:
+        least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+        for at in range(0, len(hashes), 1 << 11):
+            least = np.minimum(least, np.multiply.outer(hashes[at : at + (1 << 11)], by).view(np.uint32).min(axis=0))
+        parts = least.tobytes()
+        return [xxhash.xxh64_intdigest(parts[b * 4 * ROWS : (b + 1) * 4 * ROWS], b) - (1 << 63) for b in range(BANDS)]
+
+    return keys
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """docs with sid (hash of the set of shingles) and keys in place of text."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        keys_of = minima()
+        for part in slices(batches, "text"):
+            sids, keys = [], []
+            for t in part.column("text").cast(pa.binary()).to_pylist():
+                found = np.unique(shingle_hashes(t or b"", width))
+                sids.append(xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63))
+                keys.append(keys_of(found) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*kept, "sid", "keys"])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+class Sets:
+    """Sorted sets of hashes, with the exact question which of some of them are similar to one of them."""
+
+    def __init__(self, sets: list, share: tuple[int, int]):
+        import numpy as np
+
+        self.sets, self.share, self.sizes = sets, share, np.array([len(s) for s in sets])
+        self.posted = None
+
+    def postings(self):
+        import numpy as np
+
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        _, self.term, times = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        self.posted = owner[np.argsort(self.term, kind="stable")]
+        self.upto, self.ends = np.cumsum(times), np.cumsum(self.sizes)
+        self.from_ = self.upto - times
+
+    def similar(self, i: int, js):
+        import numpy as np
+
+        if len(js) < 8:
+            both = np.array([np.isin(self.sets[i], self.sets[j], assume_unique=True).sum() for j in js])
+        else:
+            if self.posted is None:
+                self.postings()
+            own = self.term[self.ends[i] - self.sizes[i] : self.ends[i]]
+            both = np.bincount(np.concatenate([self.posted[self.from_[t] : self.upto[t]] for t in own]), minlength=len(self.sets))[js]
+        p, q = self.share  # both / (a + b - both) >= p / q
+        return js[(p + q) * both >= p * (self.sizes[i] + self.sizes[js])]
+
+
+def exact_forest(fps, sets: list, tiles, share: tuple[int, int], wide: int, step: int = 512) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of sets whose similarity is at least share[0] / share[1], as pairs of places.
+
+    As forest, tile by tile: exclusive-or and bit counts of the fingerprints fps say which pairs may be similar
+    (within wide bits, and of sizes that allow it); of those in different trees the sets are compared in full.
+    """
+    import numpy as np
+
+    n, (p, q) = len(fps), share
+    pops = np.bitwise_count(fps).astype(np.int64)
+    order = np.argsort(pops, kind="stable")
+    fps, pops, tiles = fps[order], pops[order], tiles[order]
+    known = Sets([sets[k] for k in order], share)
+    sizes, label, out = known.sizes, np.arange(n), []
+    across = bool((tiles != tiles[0]).any())
+    for i in range(0, n, step):
+        for j in range(i, n, step):
+            if pops[j] - pops[min(i + step, n) - 1] > wide:
+                break
+            a, b = sizes[i : i + step, None], sizes[None, j : j + step]
+            near = (np.bitwise_count(fps[i : i + step, None] ^ fps[None, j : j + step]) <= wide) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
+            if across:
+                near &= tiles[i : i + step, None] != tiles[None, j : j + step]
+            for r in np.flatnonzero(near.any(axis=1)):
+                one = i + int(r)
+                js = j + np.flatnonzero(near[r])
+                js = js[(js > one) & (label[js] != label[one])]
+                for two in known.similar(one, js) if len(js) else ():
+                    if label[two] != label[one]:
+                        out.append((int(order[one]), int(order[two])))
+                        label[label == label[two]] = label[one]
+    return out
+
+
+def exact_links(sets: DataFrame, share: tuple[int, int], wide: int, tile: int) -> DataFrame:
+    """(a, b): links between sets (block, sid, fp, grams) that connect all similar ones of each block.
+
+    A block of more than `tile` shingles is cut by hash; each tile and each pair of tiles is a row of its own.
+    """
+    sets = sets.withColumn("n", F.size("grams").cast("long"))
+    large = stored(sets.groupBy("block").agg(F.ceil(F.sum("n") / tile).cast("int").alias("k")).where("k > 1"))
+    rows = sets.join(large, "block", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    groups = rows.groupBy("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "fp", "own", "grams")).alias("sets"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = batch.column("sets")[k].values
+                sids, fps, own, grams = (np.asarray(held.field("sid")), np.asarray(held.field("fp")).view(np.uint64), np.asarray(held.field("own")), held.field("grams"))
+                if len(sids) > 1:
+                    pairs = exact_forest(fps, [np.asarray(grams[i].values) for i in range(len(sids))], own, share, wide)
+                    if pairs:
+                        a, b = np.array(pairs).T
+                        yield pa.RecordBatch.from_arrays([pa.array(sids[a]), pa.array(sids[b])], names=["a", "b"])
+
+    return groups.select("sets").mapInArrow(run, "a long, b long")
+
+
+def candidate_blocks(sets: DataFrame) -> DataFrame:
+    """(sid, block) of the sets (sid, keys) that share a key with another one."""
+    rows = stored(sets.select("sid", F.explode("keys").alias("key")))
+    # Written first, so that the join reads two plain shuffles: a key may be very common.
+    groups = stored(rows.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").select("key", "first"))
+    edges = rows.join(groups, "key").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    found = stored(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("block")))
+    dropped(rows)
+    dropped(groups)
+    return found
+
+
+def near_copies_dropped(docs: DataFrame, width: int = NEAR_WIDTH, share: tuple[int, int] = SHARE, wide: int = WIDE, tile: int = NEAR_TILE) -> DataFrame:
+    """docs with one row of each component of near copies: that of the smallest doc_id, then of the smallest text hash.
+
+    Near copies: the Jaccard similarity of the sets of shingles is share[0] / share[1] or more, counted exactly. The
+    fingerprints of similar sets differ in up to some 25 bits, too many for equal bands of bits; blocks are therefore
+    made of texts that share one of BANDS keys of minimum hashes, or hang together over such texts. Two sets of
+    similarity 0.8 share no key with probability (1 - 0.8 ** 4) ** 30, about 1.4e-7, more similar ones with less. In
+    a block, tiles of fingerprints of the sets are compared by exclusive-or and bit counts: at similarity 0.8 they
+    differ in 10 bits on average (12 in the shortest texts) with a deviation of 3, so more than `wide` with
+    probability about 1e-7. What passes is compared in full.
+
+    Null or empty text: an empty set; empty sets are copies of each other. All columns stay as they are.
+    """
+    hashed = F.xxhash64("text")
+    marks = stored(shingle_sets(docs.select("doc_id", "text", hashed.alias("hashed")), width))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed")
+    sets = stored(marks.groupBy("sid").agg(F.min(place).alias("place"), F.first("keys").alias("keys")))
+    found = stored(sets.select("sid", "place").join(candidate_blocks(sets), "sid").select("sid", "block", F.col("place.doc_id").alias("set_id"), F.col("place.hashed").alias("set_hash")))
+    texts = docs.select("doc_id", "text").join(found, hashed.eqNullSafe(F.col("set_hash")) & F.col("doc_id").eqNullSafe(F.col("set_id"))).select("block", "sid", "text")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, width)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            fps = [majority(x) for x in found]
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("sid"), pa.array(fps, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["block", "sid", "fp", "grams"])
+
+    grams = stored(texts.mapInArrow(run, "block long, sid long, fp long, grams array<long>"))
+    roots = components(exact_links(grams, share, wide, tile)).withColumnRenamed("node", "sid")
+    first = sets.select("sid", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    first = first.groupBy("root").agg(F.min("place").alias("place")).select("place")
+    keys = marks.groupBy(place.alias("place")).agg(F.count("*").alias("n")).join(first, "place", "left_semi")
+    return rows_of(docs, keys.select(F.col("place.doc_id").alias("kept_id"), F.col("place.hashed").alias("kept_hash"), F.col("n").alias("kept_n")))

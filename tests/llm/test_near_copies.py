@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from filigree.llm import similar
+from filigree.llm import simhash
 
 SCHEMA = "doc_id long, text string, sid string, keys int"
 
@@ -45,16 +45,14 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("tile", [similar.TILE, 300])
-def test_one_of_each_component_stays(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile", [simhash.NEAR_TILE, 300])
+def test_one_of_each_component_stays(spark, tile):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
-    if tile == 300:
-        monkeypatch.setattr(similar, "SMALL", 0)  # no broadcast
-    kept = similar.deduplicated(docs, tile=tile)
+    kept = simhash.near_copies_dropped(docs, tile=tile)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == survivors(rows)
-    assert similar.deduplicated(docs.limit(0)).count() == 0
+    assert simhash.near_copies_dropped(docs.limit(0)).count() == 0
 
 
 def test_stage_drops_planted_copies_of_similarity_0_8(spark):
