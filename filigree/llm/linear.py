@@ -36,10 +36,10 @@ KINDS, RUN = Kinds(), re.compile(r"(.)\1+", re.DOTALL)
 
 
 def shape(word: str) -> str:
-    """The kinds of a word's signs, runs as one sign; at most 12."""
+    """The kinds of a word's signs, runs as one sign."""
     if word.isalpha() and word.islower():
         return "a"
-    return RUN.sub(r"\1", word.translate(KINDS))[:12]
+    return RUN.sub(r"\1", word.translate(KINDS))
 
 
 def word_id(word: str) -> int:
@@ -72,29 +72,33 @@ def featurizer(bits: int = BITS):
 
 
 def presence(bits: int = BITS):
-    """text -> (places, values): which words, beginnings of five letters and word shapes it has, all of one weight."""
+    """text (or its UTF-8) -> (places, values): which words, beginnings of five letters and word shapes it has, all of one weight.
+
+    The function's attribute `of` takes the words of a text as bytes.
+    """
     import numpy as np
     from zlib import crc32
 
     most = (1 << bits) - 1
     place = lambda x: 1 + crc32(x.encode()) % most
-    starts, shapes = WordIds(lambda start: place("<" + start)), WordIds(lambda look: place("#" + look))
 
-    def make(word):
-        own = word.lower().strip(".,;:!?\"'()[]")
-        return place(own), starts[own[:5]], shapes[shape(word)]
+    def make(data):
+        word = data.decode()
+        own, look = word.lower().strip(".,;:!?\"'()[]"), shape(word)
+        return place(own), place("<" + own[:5]), place("#" + look)
 
     ids = WordIds(make)
 
+    def of(words):
+        got = set().union(*map(ids.__getitem__, set(words)))
+        got.add(0)
+        return np.fromiter(got, np.int64, len(got))
+
     def places(text):
-        got = set().union(*map(ids.__getitem__, set((text or "").split())))
-        at = np.empty(len(got) + 1, np.int64)
-        at[0], at[1:] = 0, np.fromiter(got, np.int64, len(got))
-        at.sort()  # every other place is above 0
-        values = np.full(len(at), 0.3)
-        values[0] = 1.0
-        return at, values
+        at = of((text or "").encode().split())
+        return at, np.where(at == 0, 1.0, 0.3)
 
+    places.of = of
     return places
 
 
@@ -133,15 +137,16 @@ class Linear:
             import numpy as np
             import pyarrow as pa
 
-            places, w = features(), held.value
+            places, w = features(), np.ascontiguousarray(held.value.T)
+            k = w.shape[1]
 
             def each(texts):
-                out = np.empty((len(texts), len(w)))
+                out = np.empty((len(texts), k))
                 for i, t in enumerate(texts):
                     at, x = places(t)
-                    out[i] = w[:, at] @ x
+                    out[i] = x @ w[at]
                 out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-                return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(w), pa.array(out.ravel()))
+                return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * k, pa.array(out.ravel()))
 
             return each
 

@@ -99,7 +99,7 @@ def test_mixture_meets_targets_and_keeps_clean(spark):
         labels.append((i, int(kind != 2), int(kind == 1)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate int")
     marks = spark.createDataFrame([*labels, (None, 1, 1), (1, None, 0)], "doc_id long, quality int, toxic int")
-    got = mixing.mixture(docs, marks).toPandas()
+    got = mixing.mixture(docs, marks, ceiling=1.0).toPandas()
     assert len(got) == len(rows) and got.rate.between(0, 1).all()
     # The fit against a long plain projected gradient on the same posteriors: totals as close to the targets.
     import numpy as np
@@ -116,3 +116,23 @@ def test_mixture_meets_targets_and_keeps_clean(spark):
     assert kept.where("rate = 0").count() >= 0.97 * 240
     assert mixing.mixed(docs.limit(0), marks).count() == 0
     assert mixing.mixed(docs, marks.limit(0)).count() > 0
+
+
+def test_a_scarce_domain_reaches_its_share(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        kind = 1 if i % 50 == 0 else 2 if i % 4 == 1 else 0  # toxic: 2 of 100, wanted: 5 of 100
+        p = [0.02, 0.02, 0.02]
+        p[kind] = 0.96 - 0.1 * rng.random()
+        rows.append((i, ([x / sum(p) for x in p], rng.randrange(0, 60))))
+    scored = spark.createDataFrame(rows, f"doc_id long, {mixing.MARK} struct<p:array<double>,tokens:bigint>")
+    wanted = [0.75, 0.05, 0.2]
+    fit = mixing.fitted(scored, wanted, strict=True)
+    total = sum(m[1] for _, m in rows)
+    assert max(abs(x / total - w) for x, w in zip(fit.reached, wanted, strict=True)) < 1e-3
+    r = mixing.rate(F.col(mixing.MARK)["p"], fit.moves, fit.ceiling)
+    got = scored.select("doc_id", r.alias("rate"), mixing.copies("doc_id", r).alias("copies")).toPandas()
+    assert 1 < got.rate.max() <= mixing.MOST and got.rate.min() >= 0 and abs(got.copies - got.rate).max() < 1
+    for out in ([0.0, 1.0, 0.0], [0.0, 0.0, 0.0]):  # cannot be reached with so few; nothing wanted
+        assert len(mixing.fitted(scored, [x + 1e-9 for x in out]).reached) == 3
