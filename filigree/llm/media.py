@@ -2,7 +2,8 @@
 
 Every 64 payload bytes are the 64 coefficients (byte - 128, zig-zag order, quantiser 1) of one 8 x 8
 block of a greyscale image, Huffman-coded as baseline JPEG with a restart marker after every `RESTART`
-blocks. Restart segments are independent, so they are coded and decoded in step, one numpy operation for
+blocks. The image has as many columns as rows of blocks, or one more; places behind the payload are blocks without a
+coefficient. Restart segments are independent, so they are coded and decoded in step, one numpy operation for
 all segments of a slice. Reading back parses the markers, decodes the scan, and rebuilds the payload and
 a thumbnail of luminance from the DC coefficients alone (one pixel a block).
 
@@ -155,7 +156,8 @@ def encode(texts: list[bytes]) -> list[bytes]:
     import numpy as np
 
     unit = 64 * RESTART
-    out = [[header(max(1, -(-len(t) // 64)), len(t))[0]] for t in texts]
+    heads = [header(max(1, -(-len(t) // 64)), len(t)) for t in texts]
+    out = [[head] for head, _, _ in heads]
     waiting, size = [], 0
 
     def flush():
@@ -179,6 +181,8 @@ def encode(texts: list[bytes]) -> list[bytes]:
 
     for i, text in enumerate(texts):
         text += b"\0" * (-len(text) % 64 if text else 64)
+        _, wide, high = heads[i]
+        text += b"\x80" * (64 * wide * high - len(text))  # the rest of the image: blocks without a coefficient
         for at in range(0, len(text), SLICE):
             piece = text[at : at + SLICE]
             waiting.append((i, at // unit, piece))
@@ -315,9 +319,8 @@ def decode(files: list[bytes]) -> list[tuple]:
         head = heads[i]
         wide, high = -(-head["width"] // 8), -(-head["height"] // 8)
         n_payload, n_bytes = (int(x) for x in head["comment"].split()[1:3])
-        thumb = np.full(wide * high, 128, np.uint8)
         light = coefficients[:, 0].astype(np.int64) * head["quant"][0][0] / 8 + 128
-        thumb[: len(light)] = np.clip(np.round(light), 0, 255)
+        thumb = np.clip(np.round(light), 0, 255).astype(np.uint8)
         payload = (coefficients[: n_payload // 64] + 128).astype(np.uint8).tobytes()
         out[i] = (payload, n_bytes, head["width"], head["height"], thumb.reshape(high, wide))
 
@@ -345,7 +348,7 @@ def decode(files: list[bytes]) -> list[tuple]:
         key = (head["huffman"][0x00], head["huffman"][0x10])
         if key not in known:
             known[key] = tuple(steps(*x, dc=not k) for k, x in enumerate(key))
-        blocks = int(head["comment"].split()[1]) // 64
+        blocks = -(-head["width"] // 8) * -(-head["height"] // 8)
         each = head["restart"] or blocks
         scan = np.frombuffer(f, np.uint8)[head["scan"] : -2]
         ff = np.nonzero(scan[:-1] == 0xFF)[0]
