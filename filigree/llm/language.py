@@ -30,7 +30,14 @@ def cleaner():
     import re
 
     gap = re.compile(r"[\W\d_]+")
-    return lambda text: " " + gap.sub(" ", (text or "").lower()).strip() + " "
+
+    def clean(text):
+        out = gap.sub(" ", (text or "").lower()).strip()
+        if out and not out.replace(" ", "").isalpha():  # numbers of other forms, such as ½
+            out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
+        return f" {out} "
+
+    return clean
 
 
 def gram_keys(codes, order: int):

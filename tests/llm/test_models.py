@@ -12,15 +12,16 @@ def test_language_held_out(spark):
     rng = random.Random(8)
     parts = {"en": "the ing tion er of and".split(), "de": "der ung sch ein ü ge".split(), "fr": "eau le é que ment".split()}
     rows = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(30)), lang, 1.0) for i in range(240) for lang in [list(parts)[i % 3]]]
-    rows += [(1000, None, "en", 1.0), (1001, "12 .. 3", "de", 1.0), (None, "der der", None, 1.0), (1002, "", None, 1.0)]
+    rows += [(1000, None, "en", 1.0), (1001, "12 .. 3", "de", 1.0), (None, "der der", None, 1.0), (1002, "", None, 1.0), (1003, "½² ① ٣", None, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     model = language.fitted(docs, ~F.expr(HELD))
     got = language.identified(docs, model)
     assert got.count() == len(rows) and got.where("filigree_lang.score < 0 or filigree_lang.score > 1").count() == 0
-    assert {r.doc_id for r in got.where("filigree_lang.lang = 'und'").collect()} == {1000, 1001, 1002}
+    assert {r.doc_id for r in got.where("filigree_lang.lang = 'und'").collect()} == {1000, 1001, 1002, 1003}
     assert got.where(F.expr(HELD) & (F.col("doc_id") < 1000) & (F.col("filigree_lang.lang") != F.col("lang"))).count() == 0
     none = language.identified(docs, language.fitted(docs.limit(0)))
     assert none.where("filigree_lang.lang != 'und'").count() == 0
+    assert language.identified(docs.limit(0), model).count() == 0
 
 
 def test_kneser_ney_sums_to_one():
