@@ -2,8 +2,8 @@
 
 Documents are linked through hubs: those of one hub (by default, of equal text) are neighbours. Each linked
 document starts in a shard by hash. In each round a hub's documents ask for the shard where most of their
-neighbours are, of those with room; a shard takes requests up to its free rows (a share of them, by hash of
-hub and old shard), so linked documents gather and no shard fills beyond its quota. All documents of one
+neighbours are, of those with room; a shard takes requests in the order of a hash of hub and old shard while their
+running sum is within its free rows, so linked documents gather and no request lifts a shard beyond its quota. All documents of one
 hub and first shard move alike, so rounds are joins over (hub, first shard) rows, however large a hub is; a
 hub larger than a shard fills one after another. Documents without neighbours then fill the gaps.
 
@@ -55,14 +55,20 @@ def propagated(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
         rooms = spark.createDataFrame(list(enumerate(room)), "shard int, room long")
         open_ = there.join(F.broadcast(rooms.where("room > 0")), "shard")
         target = open_.groupBy("hub").agg(F.max_by("shard", "rank").alias("to"), F.max("rank").alias("best"))
-        asks = there.join(target, "hub").where((F.col("shard") != F.col("to")) & (F.col("rank") < F.col("best"))).select("hub", "shard", "to", "m")
+        asks = there.join(target.hint("merge"), "hub").where((F.col("shard") != F.col("to")) & (F.col("rank") < F.col("best"))).select("hub", "shard", "to", "m")
         asks = stored(asks)
-        asked = dict(asks.groupBy("to").agg(F.sum("m")).collect())
-        if not asked:
+        if asks.isEmpty():
             dropped(asks)
             break
-        share = F.array(*[F.lit(min(1.0, room[s] / asked[s])) if asked.get(s) else F.lit(0.0) for s in range(shards)])
-        moves = asks.where(unit(F.lit(turn), "hub", "shard") < share[F.col("to")]).select("hub", "shard", "to")
+        # The running sum of each target's requests, in RANGES ranges of their hash: no window holds all of them.
+        order = F.xxhash64(F.lit(turn), "hub", "shard")
+        asks = asks.withColumn("order", order).withColumn("range", F.shiftrightunsigned("order", 64 - (RANGES.bit_length() - 1)))
+        sums = asks.groupBy("to", "range").agg(F.sum("m").alias("sum"))  # at most shards * RANGES rows
+        before = sums.select("to", "range", (F.sum("sum").over(Window.partitionBy("to").orderBy("range")) - F.col("sum")).alias("before"))
+        upto = F.sum("m").over(Window.partitionBy("to", "range").orderBy("order", "hub", "shard"))
+        taken = asks.withColumn("upto", upto).join(F.broadcast(before), ["to", "range"])
+        free = F.array(*map(F.lit, room))[F.col("to")]
+        moves = taken.where(F.col("before") + F.col("upto") <= free).select("hub", "shard", "to").hint("merge")
         now = stored(state.join(moves, ["hub", "shard"], "left").select("hub", "first", "n", F.coalesce("to", "shard").alias("shard")))
         dropped(asks)
         dropped(state)
@@ -79,7 +85,7 @@ def sharded(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, ro
     quota = [low + (s < more) for s in range(shards)]
     groups = found.groupBy("hub", "first").agg(F.count("*").alias("n"))
     many = groups.groupBy("hub").agg(F.sum("n").alias("all")).where("all > 1").select("hub")
-    state = propagated(groups.join(many, "hub"), quota, rounds)
+    state = propagated(groups.join(many.hint("merge"), "hub"), quota, rounds)
     load = dict(state.groupBy("shard").agg(F.sum("n")).collect())
     room = [max(0, quota[s] - (load.get(s) or 0)) for s in range(shards)]
     reach, steps = 0, []
@@ -87,7 +93,7 @@ def sharded(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, ro
         reach += r
         steps.append(reach / max(1, sum(room)))
     gap = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= unit(F.lit(11), "doc_id", "hub"))).cast("int")
-    placed = found.join(state.select("hub", "first", F.col("shard").alias("at")), ["hub", "first"], "left")
+    placed = found.join(state.select("hub", "first", F.col("shard").alias("at")).hint("merge"), ["hub", "first"], "left")
     side = F.when(F.col("at").isNotNull(), 1).otherwise(2 * F.pmod(F.xxhash64(F.lit(5), "doc_id", "hub"), F.lit(2)))
     placed = placed.withColumn("place", F.coalesce("at", F.least(gap, F.lit(shards - 1))))
     bits = F.xxhash64("doc_id", "text_crc32", "size")

@@ -40,6 +40,17 @@ def test_groups_gather_where_there_is_room(spark):
     assert sum(pairs) <= 1.2 * len(pairs) and len(shards["huge group"]) <= 6
 
 
+def test_no_shard_is_lifted_beyond_its_quota(spark):
+    rng = random.Random(6)
+    linked = [(h, s, rng.randrange(1, 9)) for h in range(60) for s in range(5) if rng.random() < 0.7]
+    quota = [sum(n for _, _, n in linked) // 5 + 10] * 5
+    first = [sum(n for _, s, n in linked if s == k) for k in range(5)]
+    found = sharding.propagated(spark.createDataFrame(linked, "hub long, first int, n long"), quota).collect()
+    last = [sum(r.n for r in found if r.shard == k) for k in range(5)]
+    assert sum(last) == sum(first) and all(now <= max(q, was) for now, q, was in zip(last, quota, first, strict=True)), (first, last)
+    assert len({(r.hub, r.shard) for r in found}) < 0.7 * len(linked)
+
+
 def test_fewer_rows_than_shards_and_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
     got = sharding.sharded(docs).collect()
