@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one in local mode (tests), else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="filigree-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -74,16 +76,17 @@ def slices(batches, column: str, most: int = 4 << 20):
             start = stop
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root): root is the smallest node reachable; only nodes with a link appear.
 
     Alternating large-star and small-star rounds, each a group-by and a join over links, written to the
-    shared folder. Every round keeps a spanning set of links, so their number never grows.
+    shared folder. Every round keeps a spanning set of links, so their number never grows; rounds go on until one
+    changes nothing.
     """
     a, b = F.col("a"), F.col("b")
     now = stored(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark[0] == 0 or mark == before:
             break

@@ -167,7 +167,8 @@ def _named(docs: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
     roots = components(links(fps, radius, tile)).withColumnRenamed("node", "fp")
     fps = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = fps.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(fps.select("fp", "root").join(first, "root"), "fp")
+    # Written first, so that the join reads two plain shuffles, whose skewed partitions Spark can split: a fingerprint may be very common.
+    return marks.join(stored(fps.select("fp", "root").join(first, "root")), "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
