@@ -102,7 +102,7 @@ def fitted(scored: DataFrame, targets=TARGETS, ceiling: float = MOST, steps: int
 
     k, p, t = len(targets), F.col(MARK)["p"], F.col(MARK)["tokens"]
     share = np.array(targets, float) / sum(targets)
-    fit = Fit([], [], [], ceiling)
+    fit, gaps = Fit([], [], [], ceiling), []
     for _ in range(steps + 1):
         inside = F.when((F.col("r") > 0) & (F.col("r") < ceiling), 1.0).otherwise(0.0)
         sums = [F.sum(t * p[i] * F.col("r")).alias(f"a{i}") for i in range(k)]
@@ -117,13 +117,17 @@ def fitted(scored: DataFrame, targets=TARGETS, ceiling: float = MOST, steps: int
         fit.reached = have.tolist()
         if goal.sum() <= 0 or np.abs(gap).max() <= CLOSE * goal.sum():
             return fit
+        gaps.append(float(np.abs(gap).max()))
+        if len(gaps) > 4 and min(gaps[-3:]) > 0.98 * min(gaps[:-3]):
+            break  # the goals are out of reach: three steps came no closer
         g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         if ceiling <= 1 and not fit.moves:  # all rates are at the ceiling: any of them may move
             g = g * 1e3
         g += np.eye(k) * 1e-6 * max(g.trace(), 1e-9) / k
         fit.moves.append([float(x) for x in np.linalg.solve(g, gap)])
-    fit.moves.pop()  # the last one was not looked at
-    said = f"expected tokens {fit.reached} miss their goals {fit.goal} after {steps} steps"
+    else:
+        fit.moves.pop()  # the last one was not looked at
+    said = f"expected tokens {fit.reached} miss their goals {fit.goal} after {len(fit.moves)} steps"
     if strict:
         raise ValueError(said)
     warnings.warn(said, stacklevel=2)
