@@ -5,10 +5,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no search meaning.
-STOPWORDS = (
-    "the a an and or of to in for on is are be by with as at that this from not it its our we their which what how much many "
-    "do does did was were has have had will would can could i you"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "be", "by", "with", "as", "at", "that", "this", "from", "not", "it",
+    "its", "our", "we", "their", "which", "what", "how", "much", "many", "do", "does", "did", "was", "were", "has", "have", "had", "will", "would",
+    "can", "could", "i", "you",
+]
 #: Section titles by item.
 ITEM_TITLES = {
     "1": "Business", "1A": "Risk Factors", "1B": "Unresolved Staff Comments", "1C": "Cybersecurity", "2": "Properties",
@@ -16,11 +17,16 @@ ITEM_TITLES = {
     "7A": "Quantitative and Qualitative Disclosures About Market Risk", "8": "Financial Statements and Supplementary Data",
     "9A": "Controls and Procedures",
 }
+#: Fixed value: the sentence that stands for a refusal.
 REFUSAL = "I could not find this in the filings provided."
 #: What marks an answer as a refusal.
 REFUSAL_MARKS = ["could not find", "not in the filings", "cannot answer", "no information", "unable to determine", "don't have"]
 #: Fixed value: what a model echoes in place of an answer.
 PLACEHOLDER = "(?i)<[a-z_ ]+>|TOOL_NAME_HERE|YOUR_ANSWER"
+#: An answer without content is shorter than LEAST signs, or shorter than SHORT with a placeholder in it.
+LEAST, SHORT = 15, 60
+#: What is a token of the embedder, a search token, a figure.
+PLAIN_TOKEN, TOKEN, FIGURE = "[a-z0-9]+", "[a-z0-9]+(?:[-&][a-z0-9]+)*", r"\d[\d,]*(?:\.\d+)?%?"
 
 
 def words(text: Column) -> Column:
@@ -34,13 +40,13 @@ def collapsed(text: Column) -> Column:
 
 def plain_tokens(text: Column) -> Column:
     """The embedder's tokens: ASCII letters and digits, lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(PLAIN_TOKEN), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     """Search tokens: alphanumeric runs with inner - and & kept, then their parts after each compound; stop words out; repeats stay."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    raw = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[-&][a-z0-9]+)*"), F.lit(0))
+    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     kept = F.filter(raw, lambda t: ~F.array_contains(stop, t))
     parts = lambda t: F.filter(F.split(t, "[-&]"), lambda p: (p != "") & ~F.array_contains(stop, p))
     return F.flatten(F.transform(kept, lambda t: F.when(t.rlike("[-&]"), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
@@ -72,7 +78,7 @@ def unescaped(html: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Figures without commas, percent sign or trailing point; citation marks do not count."""
-    raw = F.regexp_extract_all(F.regexp_replace(text, r"\[\d+\]", ""), F.lit(r"\d[\d,]*(?:\.\d+)?%?"), F.lit(0))
+    raw = F.regexp_extract_all(F.regexp_replace(text, r"\[\d+\]", ""), F.lit(FIGURE), F.lit(0))
     return F.transform(raw, lambda n: F.rtrim(F.rtrim(F.replace(n, F.lit(","), F.lit("")), F.lit("%")), F.lit(".")))
 
 
@@ -108,7 +114,7 @@ def is_refusal(answer: Column) -> Column:
 def is_degenerate(answer: Column) -> Column:
     v = F.trim(answer)
     whole = v.rlike(f"^(?:{PLACEHOLDER})$")
-    return (F.length(v) < 15) | ~v.rlike("[A-Za-z]{3}") | whole | ((F.length(v) < 60) & v.rlike(PLACEHOLDER))
+    return (F.length(v) < LEAST) | ~v.rlike("[A-Za-z]{3}") | whole | ((F.length(v) < SHORT) & v.rlike(PLACEHOLDER))
 
 
 def truncated(text: Column, most: int = 6000) -> Column:

@@ -87,15 +87,15 @@ def sections(texts: DataFrame, least: int = 400) -> DataFrame:
     return out.select("id", F.col("key").alias("item"), titles[F.col("key")].alias("title"), F.col("pos").alias("start"), "end", F.length("body").alias("n_chars"), F.col("body").alias("text"))
 
 
-def key_sections(text: Column) -> Column:
-    """Struct business, risks, md_and_a: the stretch after each heading's first place, if over 100 characters, up to 10000, 10000 and 15000."""
+#: Where a key section begins, what it holds, where it ends; and the most signs of it.
+KEY_SECTIONS = {
+    "business": (r"(?is)(?:item\s+1[.\s]?business|business\s+overview)(.*?)(?:item\s+1a|risk\s+factors|end of item)", 10000),
+    "risks": (r"(?is)(?:item\s+1a[.\s]?risk\s+factors|risk\s+factors)(.*?)(?:unresolved|financial|item\s+2|item\s+1b)", 10000),
+    "md_and_a": (r"(?is)(?:item\s+7[.\s]?md&a|management.{0,50}discussion|md&a)(.*?)(?:item\s+8|financial\s+statements|consolidated\s+statements)", 15000),
+}
 
-    def part(opens, closes, most):
-        body = F.trim(F.regexp_extract(text, f"(?is)(?:{opens})(.*?)(?:{closes})", 1))
-        return F.when(F.length(body) > 100, F.substring(body, 1, most))
 
-    return F.struct(
-        part(r"item\s+1[.\s]?business|business\s+overview", r"item\s+1a|risk\s+factors|end of item", 10000).alias("business"),
-        part(r"item\s+1a[.\s]?risk\s+factors|risk\s+factors", r"unresolved|financial|item\s+2|item\s+1b", 10000).alias("risks"),
-        part(r"item\s+7[.\s]?md&a|management.{0,50}discussion|md&a", r"item\s+8|financial\s+statements|consolidated\s+statements", 15000).alias("md_and_a"),
-    )
+def key_sections(text: Column) -> Column:
+    """Struct business, risks, md_and_a: the stretch after each heading's first place, if over 100 characters, cut at its most."""
+    body = lambda pattern: F.trim(F.regexp_extract(text, pattern, 1))
+    return F.struct(*[F.when(F.length(body(p)) > 100, F.substring(body(p), 1, most)).alias(k) for k, (p, most) in KEY_SECTIONS.items()])

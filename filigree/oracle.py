@@ -22,7 +22,7 @@ def first_words(n: int) -> str:
 
 BASE = f"""
 p AS (SELECT doc_id AS ord, text, source AS ticker, lang AS item, {toks("coalesce(text, '')")} AS t FROM documents),
-q AS (SELECT item_id AS qid, {first_words(12)} AS question FROM benchmark),
+q AS (SELECT item_id AS qid, text AS question FROM benchmark),
 sc AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN concat('src', CAST(qid % 20 AS VARCHAR)) END AS scope FROM q),
 post AS (SELECT ord, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT ord, len(t) AS dl, unnest(t) AS term FROM p) GROUP BY ord, term),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM p),
@@ -57,7 +57,7 @@ NEAR = """
 v AS (SELECT vec_id AS ord, embedding, label FROM embeddings),
 s AS (SELECT a.ord AS qid, b.ord, a.label AS ql, b.label, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM v a, v b WHERE a.ord % 20 = 0),
 n10 AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS INT) AS rank FROM s QUALIFY rank <= 10),
-rel AS (SELECT label, list(ord ORDER BY ord) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ord) AS r FROM v) WHERE r <= 40 GROUP BY label),
+rel AS (SELECT label, list(ord ORDER BY ord) AS relevant FROM v GROUP BY label),
 j AS (SELECT qid, any_value(ql) AS expected, list(ord ORDER BY rank) AS got, list(n10.label ORDER BY rank) AS labels FROM n10 GROUP BY qid),
 g AS (SELECT j.*, relevant, list_transform(got, lambda x: CASE WHEN list_contains(relevant, x) THEN 1 ELSE 0 END) AS r FROM j JOIN rel ON rel.label = j.expected),
 m AS (SELECT *, list_sum(r[1:1]) AS r1, list_sum(r[1:3]) AS r3, list_sum(r[1:5]) AS r5,
@@ -195,10 +195,10 @@ ORACLE = {
     "dense_topk": f"WITH {NEAR} {best('s', 5)}",
     "dense_scoped_topk": f"WITH {NEAR} {best('(SELECT * FROM s WHERE ql = label)', 5)}",
     "tfidf_sparse_topk": f"WITH {BASE} {best('tv', 5)}",
-    "rank_lists": f"WITH {LISTS} SELECT qid, ord, bm25_rank, tfidf_rank FROM rl WHERE bm25_rank < 20 OR tfidf_rank < 20",
+    "rank_lists": f"WITH {LISTS} SELECT qid, ord, bm25_rank, tfidf_rank FROM rl",
     "rrf_topk": f"WITH {LISTS} {best('fu', 5)}",
     "rrf_scoped_topk": f"WITH {LISTS}, so AS (SELECT fu.* FROM fu JOIN sc USING (qid) WHERE scope IS NULL OR ticker = scope) {best('so', 5, 'qid, ord, ticker, score')}",
-    "ticker_resolve": """WITH a AS (SELECT conv_id * 1000 + turn AS qid, upper(role || ' ' || substr(text, 1, 200)) AS u FROM conversations),
+    "ticker_resolve": """WITH a AS (SELECT conv_id * 1000 + turn AS qid, upper(role || ' ' || text) AS u FROM conversations),
       t AS (SELECT DISTINCT ticker FROM (SELECT upper(n_name) AS ticker FROM nation UNION ALL SELECT 'USER' UNION ALL SELECT 'ASK')),
       w AS (SELECT qid, min(ticker) AS ticker FROM a, t WHERE regexp_matches(u, '\\b' || ticker || '\\b') GROUP BY qid)
       SELECT a.qid, coalesce(w.ticker, CASE WHEN contains(u, 'ASSIST') THEN 'ASK' END) AS scope FROM a LEFT JOIN w USING (qid)""",

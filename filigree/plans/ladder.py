@@ -24,6 +24,7 @@ class Config:
     options: dict = field(default_factory=dict)
 
 
+#: The configurations that are compared, each with one more part than the one before.
 LADDER = (
     Config("V0", chunker="word_window", retrieval="dense", top_k=3, options={"size": 500, "overlap": 50}),
     Config("V1", retrieval="dense"),

@@ -64,11 +64,18 @@ def test_agent_guards():
     def add(a: int, b: int = 1) -> int:
         return a + b
 
-    assert tools.problem("add", {}).startswith("Missing") and tools.problem("add", {"a": "x"}).startswith("Argument") and tools.problem("add", {"a": 1}) is None
+    assert tools.problem("add", {}) == "missing: a (integer)" and tools.problem("add", {"a": 1}) is None
+    assert tools.problem("add", {"a": "x", "c": 1}) == "not a parameter: c; wrong type: a takes integer, not str" and "'add'" in tools.problem("none", {})
     script = iter([{"tool": "add", "args": {"a": 1}}, {"tool": "add", "args": {"a": 1}}, {"tool": "no", "args": {}}, {"answer": "..."}, {"tool": "add", "args": {}}])
     out = agent.run_agent("q", lambda talk: next(script), tools)
     assert out.stopped == "error_budget" and out.used == ["add"] and [t["kind"] for t in out.trace] == ["result", "repeat", "invalid", "degenerate", "invalid"]
     assert agent.parsed_action('say ```{"tool": "add"}``` now') == {"tool": "add"} and agent.parsed_action("none") is None
+    assert agent.parsed_action('{broken {"a": {"b": 1}} {"answer": "x"}') == {"answer": "x"} and agent.parsed_action('```json\n{"a": 1}\n```') == {"a": 1} and agent.parsed_action('so {"a": 1}') is None
+    assert [t["name"] for t in tools.specs()] == ["add"] and tools.specs({"x"}) == [] and tools["add"].schema()["required"] == ["a"]
+    assert agent.run_together(tools, [("add", {"a": 2}), ("add", {"a": None})])[0] == 3
+    long = agent.run_agent("q", lambda talk: {"tool": "add", "args": {"a": len(talk)}}, tools, steps=3, allow={"add"})
+    assert (long.stopped, long.steps, long.used) == ("max_steps", 3, ["add"] * 3)
+    assert agent.run_agent("q", lambda talk: {"tool": "add", "args": {"a": 1}}, tools, allow=set(), errors=1).trace[0]["kind"] == "not_allowed"
 
 
 def test_registry_imports_without_the_corpus_operators():
