@@ -11,7 +11,7 @@ Equal parts are equal runs of lines, named by doubling: the names of the first a
 the largest power within the part, and its length. Doubling goes as far as the longest part.
 
 Order: doc_id (null last), then hash of the text, then line. Null text: no lines, stays null. Empty text: one
-empty line. Rows that repeat both doc_id and text share one fate, as one document. Empty table: empty
+empty line; a very long text is one sequence as any. Rows that repeat both doc_id and text share one fate, as one document. Empty table: empty
 result. Extra columns are kept.
 """
 
@@ -22,13 +22,7 @@ from pyspark.sql import functions as F
 
 from filigree.llm.common import stored
 
-WORDS, LONGEST = 20, 64
-
-
-def sizes(longest: int = LONGEST) -> list[int]:
-    """The lengths of run, in lines, that the SQL of op9 tries: 1, 2, 3, 4, 6, 8, 12 ... up to longest. The query has no such limit."""
-    powers = [1 << k for k in range(longest.bit_length())]
-    return sorted(n for p in powers for n in {p, 3 * p} if n <= longest)
+WORDS = 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -97,6 +91,8 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # removed grows with the documents: never broadcast, so the plan is the same at every size.
     out = keyed(docs).join(removed.hint("merge"), ["filigree_k1", "filigree_k2"], "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("filigree_gone", i)), "\n")
+    # Each text is split once; what stays is a difference of sets, so the work is linear in the lines.
+    stay = lambda l: F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("filigree_gone"))
+    left = F.transform(F.array(lines), lambda l: F.array_join(F.transform(stay(l), lambda i: F.get(l, i)), "\n"))[0]
     columns = [F.when(F.col("filigree_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return out.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("filigree_lines"), F.coalesce(F.size("filigree_gone"), F.lit(0)).cast("long").alias("filigree_removed"))

@@ -94,12 +94,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (k) LEFT JOIN f USING (k) LEFT JOIN z USING (k)
 """
 
-#: Different texts of one doc_id, which no table here has, come in the order of their text.
+#: Runs of every length. Different texts of one doc_id, which no table here has, come in the order of their text.
 OP9_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, list_transform(l, lambda x: len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+'))) AS n FROM d),
-s AS (SELECT unnest({lines.sizes(lines.LONGEST)}) AS size),
-r AS (SELECT doc_id, text, size, p, md5(array_to_string(l[p : p + size - 1], chr(10))) AS run FROM w, s, unnest(range(1, len(l) - size + 2)) AS t(p) WHERE list_sum(n[p : p + size - 1]) >= {lines.WORDS}),
+r AS (SELECT doc_id, text, size, p, md5(array_to_string(l[p : p + size - 1], chr(10))) AS run FROM w, unnest(range(1, len(l) + 1)) AS a(p), unnest(range(1, len(l) - p + 2)) AS b(size) WHERE list_sum(n[p : p + size - 1]) >= 20),
 c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY size, run ORDER BY doc_id NULLS LAST, text, p) > 1),
 g AS (SELECT doc_id, text, list(DISTINCT place) AS gone FROM (SELECT doc_id, text, unnest(range(p, p + size)) AS place FROM c) GROUP BY doc_id, text)
 SELECT a.doc_id, CASE WHEN gone IS NULL THEN a.text ELSE array_to_string(list_filter(string_split(a.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text,
