@@ -19,6 +19,8 @@ result row for each. Empty table: empty result. Whole texts are read; other colu
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,17 @@ ADDED = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])", ""),
     "local_phone": (r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", ""),
     "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
-    "person": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{2,20}+", ""),
-    "secret": (r"(?<=password=)[0-9A-Za-z]{8,64}+|(?<=token = \")[0-9A-Za-z]{16,128}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", ""),
+    "person": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{2,}+", ""),
+    "secret": (r"(?<=password=)[0-9A-Za-z]{8,}+|(?<=token = \")[0-9A-Za-z]{16,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", ""),
 }
 KINDS = [*BASE, *ADDED]
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
+#: Gazetteer of given and family names. Fixed values.
+NAMES = (
+    "Anna Ana Carlos Carmen Claire David Elena Emma Hans Jean John José Juan Julia Klaus Luis Marie María Mary Michael Paul Peter Pierre Sophie Thomas "
+    "Bernard Brown Davis Dubois Durand Fischer García Garcia González Gonzalez Johnson Jones López Lopez Martin Martínez Martinez Meyer Miller Moreau "
+    "Müller Petit Rodríguez Rodriguez Sánchez Sanchez Schmidt Schneider Smith Weber Williams Wilson"
+).split()
 #: Per kind: strict form, gazetteer, context before, context against. Fixed values.
 LABELERS = {
     "email": (r"^[^.@][^@]*[^.@]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$", r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$", r"mail|contact|write|schreib|écri|escrib", r"git|ssh|://$"),
@@ -51,30 +59,69 @@ LABELERS = {
     "iban": (r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]+$", r"^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT|PT|IE|PL)", r"iban|account|konto|compte|cuenta|bank", r"serial|model"),
     "local_phone": (r"^\([0-9]{3}\)\x20|^[0-9]{3}([.-])[0-9]{3}\1", r"^\(?[2-9]", r"phone|call|tel|mobil|fax|contact|anruf|appel|llam", r"isbn|order|part|serial"),
     "national_id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[0-7]", r"ssn|social|insur|\bid\b|ident", r"isbn|order|part|serial|phone"),
-    "person": (r"^[A-Z][a-z]+\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+$", r"^(?:Mr|Mrs|Ms|Dr)\.", r"dear|name|contact|signed|by", r"brand|product"),
+    "person": (r"^[A-Z][a-z]+\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+$", rf"(?:{'|'.join(NAMES)})$", r"dear|name|contact|signed|by", r"brand|product"),
     "secret": (r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$", r"^(?:AKIA|ghp|sk)", r"password|passwd|token|secret|key", r"example|dummy|sha256|checksum"),
 }
 VOTES = ("form", "listed", "context", "against", "variety")
-AROUND = 40
-SPAN = "struct<s:int,e:int,t:string>"
+AROUND, CHUNK = 40, 256
+SPAN = "struct<s:int,e:int,t:string,c:string>"
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def spans(text: Column, pattern: str, sign: str) -> Column:
-    """All matches of pattern as array<struct<s, e, t>>: positions add up over the pieces between matches."""
+    """All matches of pattern as array<struct<s, e, t, c>>, c: the AROUND signs before it.
+
+    Positions add up over the pieces between matches: first over chunks of CHUNK matches, then inside each chunk, so
+    that no fold carries a long array and the work is linear in the number of matches but for a tiny share.
+    """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-    state = f"struct<at:int,out:array<{SPAN}>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(state)
+    pairs = bound(matches, lambda found: F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))))
+    none = F.array().cast(f"array<{SPAN}>")
+    tail = lambda *parts: F.right(F.concat(*parts), F.lit(AROUND))
 
     def step(acc, x):
-        s = acc["at"] + x["gap"]
+        s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")).cast(SPAN))
-        return F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out")).cast(state)
+        before = tail(acc["tail"], x["p"])
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"), before.alias("c")).cast(SPAN))
+        return F.struct(e.alias("at"), tail(before, x["m"]).alias("tail"), F.concat(acc["out"], one).alias("out"))
+
+    def begin(acc, chunk):
+        size = F.aggregate(chunk, F.lit(0), lambda n, x: n + F.length(x["p"]) + F.length(x["m"]))
+        last = tail(F.array_join(F.transform(chunk, lambda x: F.concat(x["p"], x["m"])), ""))
+        here = F.array(F.struct(acc["at"].alias("at"), acc["tail"].alias("tail")))
+        return F.struct((acc["at"] + size).alias("at"), last.alias("tail"), F.concat(acc["out"], here).alias("out"))
+
+    def chunked(found):
+        starts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(found) > 0, bound(F.transform(starts, lambda k: F.slice(found, k * CHUNK + 1, F.lit(CHUNK))), placed)).otherwise(none)
+
+    def placed(chunks):
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:int,tail:string>>").alias("out"))
+        begins = F.aggregate(chunks, start, begin, lambda acc: acc["out"])
+        inside = lambda chunk, b: F.aggregate(chunk, F.struct(b["at"].alias("at"), b["tail"].alias("tail"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, begins, inside))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     here = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]" if "A-ZÀ" not in pattern else "[A-Z]")
-    return F.when(here, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(here, bound(pairs, chunked)).otherwise(none)
+
+
+def meets(own: Column, x: Column) -> Column:
+    """Whether span x overlaps one of own, which is in order and without overlaps: the last that begins before x ends, by bisection."""
+
+    def halve(acc, _):
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = F.get(own, middle)["s"] < x["e"]
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~before, middle).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, lambda acc: acc["lo"])
+    return F.coalesce(F.get(own, found - 1)["e"] > x["s"], F.lit(False))
 
 
 def valid(kind: str, found: Column) -> Column:
@@ -94,11 +141,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("text", text)
     for kind, (pattern, sign) in {**BASE, **ADDED}.items():
         out = out.withColumn(f"filigree_{kind}", valid(kind, spans(F.col("text"), pattern, sign)))
-    base = F.flatten(F.array(*[F.col(f"filigree_{k}") for k in BASE]))
-
     def seen(kind):
         form, listed, context, against = LABELERS[kind]
-        low = lambda x: F.lower(F.substr("text", F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND))))
+        low = lambda x: F.lower(x["c"])
         vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
 
         def one(x):
@@ -109,7 +154,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         own = F.col(f"filigree_{kind}")
         if kind in ADDED:
-            own = F.filter(own, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+            own = F.filter(own, lambda x: ~reduce(or_, (meets(F.col(f"filigree_{k}"), x) for k in BASE)))
         return F.transform(own, one)
 
     every = F.flatten(F.array(*[seen(k) for k in KINDS]))
