@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.functions import text as T
+
 
 def recall(got: Column, relevant: Column, k: int) -> Column:
     rel = F.array_distinct(relevant)
@@ -97,3 +99,34 @@ def ticker_consistency(tickers: Column, expected: Column) -> Column:
     """Struct: distinct tickers in order, mixed, ok (nothing expected, or exactly the expected one)."""
     names = F.array_sort(F.array_distinct(tickers))
     return F.struct(names.alias("tickers"), (F.size(names) > 1).alias("mixed"), (expected.isNull() | F.coalesce(names == F.array(expected), F.lit(False))).alias("ok"))
+
+
+def score_ranges(scores: DataFrame) -> DataFrame:
+    """One row from (answerable, score), a null score being below all others: the ranges of both kinds, whether a threshold parts them, by how much they overlap."""
+    at, inside = F.coalesce("score", F.lit(float("-inf"))), F.col("answerable")
+    ends = scores.agg(*[f(F.when(kind, at)).alias(n) for n, f, kind in (("in_low", F.min, inside), ("in_high", F.max, inside), ("out_low", F.min, ~inside), ("out_high", F.max, ~inside))])
+    shown = [F.round(c, 3).alias(c) for c in ends.columns]
+    return ends.select(*shown, F.coalesce(F.col("in_low") > F.col("out_high"), F.lit(True)).alias("separable"), F.round(F.col("out_high") - F.col("in_low"), 3).alias("overlap"))
+
+
+def answer_checks(rows: DataFrame) -> DataFrame:
+    """rows (answer, context, must_include, should_refuse, n_sources, tickers, asked) with the checks of each answer and whether it passes.
+
+    A question that is out of scope passes by a refusal. Any other passes if the context holds the facts, the context has
+    every figure, the marks name sources, and the sources are those of the company asked about (if one was).
+    """
+    facts = lambda text: T.all_included(F.col(text), F.col("must_include"))
+    out = rows.withColumn("contains_required", facts("answer")).withColumn("context_contains", facts("context"))
+    out = out.withColumn("numeric_grounded", F.size(T.unsupported_numbers(F.col("answer"), F.col("context"))) == 0)
+    out = out.withColumn("citations_ok", T.citation_check(F.col("answer"), F.col("n_sources"))["ok"])
+    out = out.withColumn("ticker_ok", F.col("asked").isNull() | (F.array_distinct("tickers") == F.array("asked")))
+    fine = F.col("context_contains") & F.col("numeric_grounded") & F.col("citations_ok") & F.col("ticker_ok")
+    return out.withColumn("passed", F.when(F.col("should_refuse"), T.is_refusal(F.col("answer"))).otherwise(fine))
+
+
+def generation_rates(checked: DataFrame) -> DataFrame:
+    """One row: the share of answers that pass, and of each check among the questions in scope."""
+    share = lambda c, name: F.round(F.avg(c.cast("double")), 3).alias(name)
+    in_scope = lambda c: F.when(~F.col("should_refuse"), F.col(c))
+    kinds = (("contains_required", "contains_required_rate"), ("context_contains", "context_contains_rate"), ("numeric_grounded", "numeric_grounded_rate"), ("ticker_ok", "ticker_correct_rate"))
+    return checked.agg(share(F.col("passed"), "pass_rate"), *[share(in_scope(c), n) for c, n in kinds], F.count("*").alias("n"))

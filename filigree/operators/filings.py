@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators.chunking import key_sections
+
 #: Labels of 8-K items, matched as a whole string.
 EVENT_LABELS = {
     "1.01": "Bankruptcy/Receivership", "2.01": "Asset Acquisition/Disposal", "2.02": "Results & Financials", "2.03": "Material Impairments",
@@ -89,3 +91,15 @@ def with_cik(rows: DataFrame, companies: DataFrame) -> DataFrame:
     """rows with cik: ten digits of the first company whose ticker equals in any case, else null. companies: (pos, ticker, cik_str)."""
     first = companies.groupBy(F.lower("ticker").alias("low")).agg(F.min_by("cik_str", "pos").alias("cik_str"))
     return rows.join(first, F.lower(rows["ticker"]) == first["low"], "left").withColumn("cik", F.lpad(F.col("cik_str").cast("string"), 10, "0")).drop("low", "cik_str")
+
+
+def earnings(rows: DataFrame, periods: dict[str, str], count: int = 2) -> DataFrame:
+    """The first `count` rows of each ticker whose form is one of periods (form -> period) in full, with period."""
+    named = F.create_map(*[F.lit(x) for p in periods.items() for x in p])[F.col("form")]
+    return first_of(rows, named.isNotNull(), count).withColumn("period", named).drop("place")
+
+
+def latest_report(rows: DataFrame, types: list[str]) -> DataFrame:
+    """The first row of each ticker of these types (amended ones too) that has a text, with its key sections."""
+    first = first_of(rows, of_types(F.col("form"), types), 1).drop("place")
+    return first.where(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("sections", key_sections(F.col("text")))

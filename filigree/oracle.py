@@ -262,3 +262,22 @@ ORACLE = {
     "filing_urls": "SELECT o_orderkey, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '24' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '/doc.htm' AS url FROM orders",
     "available_tickers": "SELECT source AS ticker, string_agg(DISTINCT lang, ',' ORDER BY lang) AS items FROM documents GROUP BY source",
 }
+
+_CHECKED = f"""ck AS (SELECT a.id, contains(lower(answer), 'the') AND contains(lower(answer), 'in') AS contains_required, contains(lower(context), 'the') AND contains(lower(context), 'in') AS context_contains,
+  g.ok AS numeric_grounded, k.ok AS citations_ok, turn % 2 <> 0 OR turn % 3 <> 0 AS ticker_ok, a.id % 6 = 0 AS should_refuse, refused
+  FROM a JOIN ({ORACLE['numeric_grounding']}) AS g USING (id) JOIN ({ORACLE['citation_check']}) AS k USING (id) JOIN ({ORACLE['refusal_flag']}) AS r USING (id)),
+cp AS (SELECT *, CASE WHEN should_refuse THEN refused ELSE context_contains AND numeric_grounded AND citations_ok AND ticker_ok END AS passed FROM ck)"""
+
+
+def _share(what: str, where: str = "") -> str:
+    return f"round(avg(CASE WHEN {what} THEN 1.0::DOUBLE ELSE 0 END){where}, 3)"
+
+
+_IN = " FILTER (NOT should_refuse)"
+ORACLE |= {
+    "answer_checks": f"WITH {ANSWERS}, {_CHECKED} SELECT id, contains_required, context_contains, numeric_grounded, citations_ok, ticker_ok, passed FROM cp",
+    "generation_metrics": f"WITH {ANSWERS}, {_CHECKED} SELECT {_share('passed')} AS pass_rate, {_share('contains_required', _IN)} AS contains_required_rate, {_share('context_contains', _IN)} AS context_contains_rate, {_share('numeric_grounded', _IN)} AS numeric_grounded_rate, {_share('ticker_ok', _IN)} AS ticker_correct_rate, count(*) AS n FROM cp",
+    "calibration_ranges": f"WITH {ABSTAIN}, s AS (SELECT answerable, coalesce(score, CAST('-inf' AS DOUBLE)) AS v FROM ab), e AS (SELECT min(v) FILTER (answerable) AS il, max(v) FILTER (answerable) AS ih, min(v) FILTER (NOT answerable) AS ol, max(v) FILTER (NOT answerable) AS oh FROM s) SELECT round(il, 3) AS in_low, round(ih, 3) AS in_high, round(ol, 3) AS out_low, round(oh, 3) AS out_high, coalesce(il > oh, true) AS separable, round(oh - il, 3) AS overlap FROM e",
+    "earnings_filings": f"WITH {FEED}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS r FROM f WHERE form IN ('1-URGENT', '2-HIGH')) SELECT ticker, form, date, key, CASE form WHEN '1-URGENT' THEN 'quarterly' ELSE 'annual' END AS period FROM x WHERE r <= 2",
+    "latest_report": f"WITH lf AS (SELECT source AS ticker, lang AS form, doc_id AS key, text FROM documents WHERE contains(lang, 'en') OR contains(lang, 'd') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1) SELECT ticker, form, key, CAST(length(text) AS INT) AS n_chars, {', '.join(f'{legacy(*x)} AS {k}' for k, x in LEGACY.items())} FROM lf WHERE text <> ''",
+}

@@ -218,6 +218,11 @@ def calibration_choice(spark, d):
     return evaluate.chosen(evaluate.calibration_curve(abstention_scores(spark, d)))
 
 
+@query
+def calibration_ranges(spark, d):
+    return evaluate.score_ranges(abstention_scores(spark, d))
+
+
 def plain_docs(spark, d) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.col("source"), F.lit(" 10-K - Item "), F.col("lang"), F.lit(". ")).alias("prefix"))
 
@@ -320,6 +325,24 @@ def answers(spark, d) -> DataFrame:
     return c.select("id", "conv_id", "turn", "role", answer.alias("answer"), before.alias("context"))
 
 
+def judged_answers(spark, d) -> DataFrame:
+    """Answers with what they are held against, put in by rule."""
+    rows = answers(spark, d)
+    tickers = F.when(F.col("turn") % 3 == 0, F.array(F.col("role"), F.lit("other"))).otherwise(F.array("role"))
+    asked = F.when(F.col("turn") % 2 == 0, F.col("role"))
+    return evaluate.answer_checks(rows.select("id", "answer", "context", F.array(F.lit("the"), F.lit("IN")).alias("must_include"), (F.col("id") % 6 == 0).alias("should_refuse"), F.lit(3).alias("n_sources"), tickers.alias("tickers"), asked.alias("asked")))
+
+
+@query
+def answer_checks(spark, d):
+    return judged_answers(spark, d).select("id", "contains_required", "context_contains", "numeric_grounded", "citations_ok", "ticker_ok", "passed")
+
+
+@query
+def generation_metrics(spark, d):
+    return evaluate.generation_rates(judged_answers(spark, d))
+
+
 @query
 def numeric_grounding(spark, d):
     rows = answers(spark, d).select("id", T.unsupported_numbers(F.col("answer"), F.col("context")).alias("u"))
@@ -367,6 +390,20 @@ def filing_topn(spark, d):
     return filings.first_of(feed(spark, d), filings.of_types(F.col("form"), ["1-URGENT", "2-HIGH"]), 2).select("ticker", "form", "date", "key")
 
 
+@query
+def earnings_filings(spark, d):
+    found = filings.earnings(feed(spark, d), {"1-URGENT": "quarterly", "2-HIGH": "annual"})
+    return found.select("ticker", "form", "date", "key", "period")
+
+
+@query
+def latest_report(spark, d):
+    """Documents as filings of their source, of the form lang, the largest doc_id first."""
+    rows = read(spark, d, "documents").select(F.col("source").alias("ticker"), F.col("lang").alias("form"), F.col("doc_id").alias("key"), (-F.col("doc_id")).alias("pos"), "text")
+    found = filings.latest_report(rows, ["en", "d"])
+    return found.select("ticker", "form", "key", F.length("text").alias("n_chars"), *[F.coalesce(F.length(F.col("sections")[k]), F.lit(0)).alias(k) for k in ("business", "risks", "md_and_a")])
+
+
 AS_OF = "1998-08-02"
 
 
