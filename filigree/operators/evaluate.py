@@ -43,10 +43,14 @@ def purity(tickers: Column, expected: Column, k: int) -> Column:
     return F.when(expected.isNotNull() & (F.size(window) > 0), F.size(F.filter(window, lambda t: t == expected)) / F.size(window))
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """The value at place floor(share * n), at most the last."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.least(F.floor(share * F.size(values)), F.size(values) - 1).cast("int") + 1)
+def nearest_rank(rows: DataFrame, by: str, column: str, share: float) -> DataFrame:
+    """(by, value): the value at place floor(share * n) of each key, at most the last. Values are counted first, and no key's are held in one row."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(by)
+    upto = F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(own))
+    place = F.least(F.floor(share * F.col("all")), F.col("all") - 1)
+    return placed.where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(by, "value")
 
 
 def calibration_curve(scores: DataFrame, ratio: float = 5.0) -> DataFrame:

@@ -197,7 +197,8 @@ def diversified(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame
             near = v @ v[i]
             worst = near if not taken else np.maximum(worst, near)
             taken.append(i)
-        qid = group.column("qid").to_pylist()[0]
-        return pa.table({"qid": [qid] * len(taken), "ord": ords[taken], "place": pa.array(range(1, len(taken) + 1), pa.int32())})
+        qid = pa.array(group.column("qid").to_pylist()[:1] * len(taken), group.column("qid").type)
+        return pa.table({"qid": qid, "ord": ords[taken], "place": pa.array(range(1, len(taken) + 1), pa.int32())})
 
-    return candidates.groupBy("qid").applyInArrow(pick, "qid long, ord long, place int")
+    kind = {c: candidates.schema[c].dataType.simpleString() for c in ("qid", "ord")}
+    return candidates.groupBy("qid").applyInArrow(pick, f"qid {kind['qid']}, ord {kind['ord']}, place int")

@@ -52,9 +52,11 @@ def hits(config: Config, questions: DataFrame, passages: DataFrame, scope: DataF
         cut = search.top(texts.select("qid", "ord", "ticker", "score", "before"), config.top_k, "before")
         stage = "rerank"
     out = cut.where(F.col("rank") <= config.top_k).select(F.lit(config.name).alias("config"), "qid", "ord", "ticker", "score", F.lit(stage).alias("stage"), "rank")
-    best = out.groupBy("qid").agg(F.max("score").alias("best"))
+    best = questions.select("qid").join(out.groupBy("qid").agg(F.max("score").alias("best")), "qid", "left")
+    # A question without hits keeps a row of its own: it abstains wherever the configuration can.
     low = F.col("best").isNull() if config.abstain_below is None else F.coalesce(F.col("best") < config.abstain_below, F.lit(True))
-    return out.join(best.select("qid", low.alias("abstain")), "qid")
+    rows = best.select("qid", low.alias("abstain")).join(out, "qid", "left")
+    return rows.select(F.lit(config.name).alias("config"), "qid", "ord", "ticker", "score", F.coalesce("stage", F.lit(stage)).alias("stage"), "rank", "abstain")
 
 
 def _sparse_as_dense(candidates: DataFrame) -> DataFrame:

@@ -85,3 +85,28 @@ def test_registry_imports_without_the_corpus_operators():
     from filigree.queries import QUERIES
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(QUERIES)
+
+
+def test_nearest_rank_and_answer_rates(spark):
+    rows = spark.createDataFrame([("a", float(i)) for i in range(20)] + [("b", 3.0), ("b", 3.0), ("c", None)], "kind string, value double")
+    assert {r.kind: r.value for r in evaluate.nearest_rank(rows, "kind", "value", 0.95).collect()} == {"a": 19.0, "b": 3.0}
+    cases = [
+        (1, "It was 5.2% [1].", "the 5.2 it", ["IT"], False, 1, ["x"], "x"),
+        (2, "It was 5.3% [2].", "the 5.2 it", ["gone"], False, 1, ["x", "y"], "x"),
+        (3, "I could not find this in the filings provided.", "", ["it"], True, 0, [], None),
+    ]
+    checked = evaluate.answer_checks(spark.createDataFrame(cases, "id int, answer string, context string, must_include array<string>, should_refuse boolean, n_sources int, tickers array<string>, asked string"))
+    assert {r.id: r.passed for r in checked.collect()} == {1: True, 2: False, 3: True}
+    r = evaluate.generation_rates(checked).first()
+    assert (r.pass_rate, r.context_contains_rate, r.numeric_grounded_rate, r.ticker_correct_rate, r.n) == (0.667, 0.5, 0.5, 0.5, 3)
+
+
+def test_a_question_without_hits_abstains(spark):
+    from filigree.plans import ladder
+
+    questions = spark.createDataFrame([(1, "zebra stripes"), (2, "nothing of it")], "qid int, question string")
+    passages = spark.createDataFrame([(1, "zebra stripes here", "t1", "1"), (2, "other words", "t2", "1")], "ord int, text string, ticker string, item string")
+    scope = spark.createDataFrame([(1, None), (2, "none")], "qid int, scope string")
+    found = ladder.hits(ladder.LADDER[4], questions, passages, scope).collect()
+    assert [(r.ord, r.abstain) for r in found if r.qid == 2] == [(None, True)]
+    assert [r.abstain for r in found if r.qid == 1][0] is False and {r.config for r in found} == {"V4"}
