@@ -258,17 +258,35 @@ class Sets:
         self.from_ = self.upto - times
 
     def similar(self, i: int, js):
+        """Those of js that are similar to i.
+
+        A similar set holds p / q of the terms of i, so at least one of any a - ceil(p a / q) + 1 of its a terms: only
+        the owners of so many of the rarest are counted in full.
+        """
         import numpy as np
 
-        if len(js) < 8:
-            both = np.array([np.isin(self.sets[i], self.sets[j], assume_unique=True).sum() for j in js])
-        else:
+        p, q = self.share
+        size = int(self.sizes[i])
+        if size and len(js) >= 8:
             if self.posted is None:
                 self.postings()
-            own = self.term[self.ends[i] - self.sizes[i] : self.ends[i]]
-            both = np.bincount(np.concatenate([self.posted[self.from_[t] : self.upto[t]] for t in own]), minlength=len(self.sets))[js]
-        p, q = self.share  # both / (a + b - both) >= p / q
-        return js[(p + q) * both >= p * (self.sizes[i] + self.sizes[js])]
+            own = self.term[self.ends[i] - size : self.ends[i]]
+            own = own[np.argsort(self.upto[own] - self.from_[own], kind="stable")]
+            few = size + (-p * size // q) + 1
+            both = self.counts(own[:few])
+            js = js[both[js] > 0]
+            if len(js) >= 8:
+                both = (both + self.counts(own[few:]))[js]
+        if not size or len(js) < 8:
+            both = np.array([np.isin(self.sets[i], self.sets[j], assume_unique=True).sum() for j in js], dtype=np.int64)
+        return js[(p + q) * both >= p * (size + self.sizes[js])]  # both / (a + b - both) >= p / q
+
+    def counts(self, terms):
+        """How many of terms each set holds."""
+        import numpy as np
+
+        held = [self.posted[self.from_[t] : self.upto[t]] for t in terms]
+        return np.bincount(np.concatenate(held) if held else [], minlength=len(self.sets))
 
 
 def exact_forest(fps, sets: list, tiles, share: tuple[int, int], wide: int, step: int = 512) -> list[tuple[int, int]]:
@@ -286,22 +304,24 @@ def exact_forest(fps, sets: list, tiles, share: tuple[int, int], wide: int, step
     known = Sets([sets[k] for k in order], share)
     sizes, label, out = known.sizes, np.arange(n), []
     across = bool((tiles != tiles[0]).any())
-    for i in range(0, n, step):
+    rows = max(1, min(step, (1 << 25) // n))
+    for i in range(0, n, rows):
+        near = np.zeros((min(rows, n - i), n), dtype=bool)
         for j in range(i, n, step):
-            if pops[j] - pops[min(i + step, n) - 1] > wide:
+            if pops[j] - pops[min(i + rows, n) - 1] > wide:
                 break
-            a, b = sizes[i : i + step, None], sizes[None, j : j + step]
-            near = (np.bitwise_count(fps[i : i + step, None] ^ fps[None, j : j + step]) <= wide) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
-            if across:
-                near &= tiles[i : i + step, None] != tiles[None, j : j + step]
-            for r in np.flatnonzero(near.any(axis=1)):
-                one = i + int(r)
-                js = j + np.flatnonzero(near[r])
-                js = js[(js > one) & (label[js] != label[one])]
-                for two in known.similar(one, js) if len(js) else ():
-                    if label[two] != label[one]:
-                        out.append((int(order[one]), int(order[two])))
-                        label[label == label[two]] = label[one]
+            a, b = sizes[i : i + rows, None], sizes[None, j : j + step]
+            near[:, j : j + step] = (np.bitwise_count(fps[i : i + rows, None] ^ fps[None, j : j + step]) <= wide) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
+        if across:
+            near &= tiles[i : i + rows, None] != tiles[None]
+        for one in i + np.flatnonzero(near.any(axis=1)):
+            # Once for all later tiles, as the count of common shingles is the costly part.
+            js = np.flatnonzero(near[one - i])
+            js = js[(js > one) & (label[js] != label[one])]
+            for two in known.similar(int(one), js) if len(js) else ():
+                if label[two] != label[one]:
+                    out.append((int(order[one]), int(order[two])))
+                    label[label == label[two]] = label[one]
     return out
 
 

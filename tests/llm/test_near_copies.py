@@ -68,3 +68,27 @@ def test_stage_drops_planted_copies_of_similarity_0_8(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, None)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_forest_of_one_large_family_joins_what_all_pairs_join(parts):
+    """700 sets, most of them on both sides of 0.8 to many others: the same components as by comparing all pairs."""
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(common)[: rng.integers(40, 61)], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(700)]
+    fps = np.array([simhash.majority(s) for s in sets]).view(np.uint64)
+    tiles = np.arange(len(sets)) % parts
+
+    def roots(pairs):
+        label = np.arange(len(sets))
+        for a, b in pairs:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())}
+
+    members = [set(s.tolist()) for s in sets]
+    pairs = [(i, j) for i in range(700) for j in range(i) if (parts == 1 or tiles[i] != tiles[j]) and 5 * len(members[i] & members[j]) >= 4 * len(members[i] | members[j])]
+    found = simhash.exact_forest(fps, sets, tiles, (4, 5), 64)
+    assert 1 < len(roots(pairs)) < 700
+    assert roots(found) == roots(pairs)
+    assert len(found) == 700 - len(roots(pairs))
