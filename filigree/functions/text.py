@@ -45,10 +45,9 @@ def plain_tokens(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: alphanumeric runs with inner - and & kept, then their parts after each compound; stop words out; repeats stay."""
-    stop = F.array(*map(F.lit, STOPWORDS))
     raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    kept = F.filter(raw, lambda t: ~F.array_contains(stop, t))
-    parts = lambda t: F.filter(F.split(t, "[-&]"), lambda p: (p != "") & ~F.array_contains(stop, p))
+    kept = F.filter(raw, lambda t: ~t.isin(STOPWORDS))
+    parts = lambda t: F.filter(F.split(t, "[-&]"), lambda p: (p != "") & ~p.isin(STOPWORDS))
     return F.flatten(F.transform(kept, lambda t: F.when(t.rlike("[-&]"), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
 
 

@@ -20,8 +20,9 @@ def postings(passages: DataFrame) -> DataFrame:
     """(ord, term, tf, dl); dl counts all tokens of the passage."""
     # Lengths are taken below the explode: beside it they would be computed again for each token.
     rows = passages.select("ord", tokens(F.col("text")).alias("t")).select("ord", "t", F.size("t").alias("dl"))
-    rows = rows.select("ord", "dl", F.explode("t").alias("term"))
-    return rows.groupBy("ord", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # The outer form, as Spark puts a filter on the size of t below the plain one, which makes the tokens once more.
+    rows = rows.select("ord", "dl", F.explode_outer("t").alias("term")).where("term is not null")
+    return rows.groupBy("ord", "term", "dl").agg(F.count("*").alias("tf")).select("ord", "term", "tf", "dl")
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
@@ -29,11 +30,25 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
     return passages.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def idf(rows: DataFrame, passages: DataFrame) -> DataFrame:
-    """(term, df, idf) of the terms in rows (ord, term, ...)."""
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus_stats(passages).select("n")
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def document_frequencies(terms: DataFrame) -> DataFrame:
+    """(term, df) from one row (terms: array) a passage. A passage sends each of its terms once, and counts are added up before the shuffle."""
+    return terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(term, df) of rows (passage, term, tf); reads tf, so that it shares the shuffle of rows with whoever reads them, too."""
+    return rows.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
+def idf_of(df, n) -> F.Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def idf(passages: DataFrame) -> DataFrame:
+    """(term, df, idf) of all terms."""
+    df = document_frequencies(passages.select(tokens(F.col("text")).alias("terms")))
+    n = passages.agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", idf_of(F.col("df"), F.col("n")).alias("idf"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -44,9 +59,9 @@ def bm25(questions: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, ord, score) of passages that share a term with the question. Only postings of question terms are kept."""
     asked = question_terms(questions)
     rows = postings(passages).join(asked.select("term").distinct(), "term", "left_semi")
-    one = corpus_stats(passages)
+    known = counted(rows).crossJoin(F.broadcast(corpus_stats(passages))).select("term", "avgdl", idf_of(F.col("df"), F.col("n")).alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = rows.join(idf(rows, passages).select("term", "idf"), "term").crossJoin(F.broadcast(one)).select("term", "ord", (F.col("idf") * weight).alias("w"))
+    found = rows.join(known, "term").select("term", "ord", (F.col("idf") * weight).alias("w"))
     return found.join(asked, "term").groupBy("qid", "ord").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
 
 
@@ -54,23 +69,44 @@ def bucket(term) -> F.Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % DIM).cast("int")
 
 
-def tfidf_vectors(rows: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(id, bucket, w) of unit length from (id, term, tf); unknown terms have idf 1."""
+def tfidf_weights(rows: DataFrame, idfs: DataFrame) -> DataFrame:
+    """(id, bucket, w) from (id, term, tf); unknown terms have idf 1."""
     w = (1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))
-    parts = rows.join(idfs, "term", "left").groupBy("id", bucket(F.col("term")).alias("bucket")).agg(F.sum(w).alias("w"))
+    return rows.join(idfs, "term", "left").groupBy("id", bucket(F.col("term")).alias("bucket")).agg(F.sum(w).alias("w"))
+
+
+def tfidf_parts(questions: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The weights of the questions and of the passages."""
+    term_rows = lambda df, i, c: df.select(F.col(i).alias("id"), F.explode(plain_tokens(F.col(c))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    n = F.broadcast(passages.agg(F.count("*").alias("n")))
+    weighed = lambda df: df.crossJoin(n).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    asked, rows = term_rows(questions, "qid", "question"), term_rows(passages, "ord", "text")
+    terms = document_frequencies(passages.select(plain_tokens(F.col("text")).alias("terms")))
+    return tfidf_weights(asked, weighed(terms)), tfidf_weights(rows, weighed(counted(rows)))
+
+
+def unit_length(parts: DataFrame) -> DataFrame:
     length = parts.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return parts.join(length, "id").select("id", "bucket", (F.col("w") / (F.col("len") + 1e-12)).alias("w"))
 
 
 def tfidf_scores(questions: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, ord, score): cosine of hashed TF-IDF vectors, as a join on buckets; pairs without a common bucket have none."""
-    term_rows = lambda df, i, c: df.select(F.col(i).alias("id"), F.explode(plain_tokens(F.col(c))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    rows = term_rows(passages, "ord", "text")
-    n = passages.agg(F.count("*").alias("n"))
-    idfs = rows.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    left = tfidf_vectors(term_rows(questions, "qid", "question"), idfs).select(F.col("id").alias("qid"), "bucket", F.col("w").alias("qw"))
-    right = tfidf_vectors(rows, idfs).select(F.col("id").alias("ord"), "bucket", "w")
-    return left.join(right, "bucket").groupBy("qid", "ord").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    left, right = map(unit_length, tfidf_parts(questions, passages))
+    left = left.select(F.col("id").alias("qid"), "bucket", F.col("w").alias("qw"))
+    return left.join(right.withColumnRenamed("id", "ord"), "bucket").groupBy("qid", "ord").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+
+
+def tfidf_top(questions: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(qid, ord, score, rank): the k best of tfidf_scores for each question, without its rows of all pairs.
+
+    Question vectors go to the tasks in blocks of BLOCK; a passage is one row of at most DIM buckets, and a task keeps
+    the k best of each batch, so k rows a question and batch are shuffled.
+    """
+    asked, parts = tfidf_parts(questions, passages)
+    sparse = lambda df: df.groupBy("id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))  # noqa: E731  at most DIM entries
+    asked, found = sparse(asked), sparse(parts)
+    return top(in_blocks(asked.withColumnRenamed("id", "qid"), "v", found.withColumnRenamed("id", "ord"), matched(k)), k)
 
 
 def top(scores: DataFrame, k: int, *ties: str, by: str = "qid") -> DataFrame:
@@ -100,10 +136,16 @@ def scoped(scores: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def resolved(questions: DataFrame, tickers: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """(qid, scope): the first ticker in order that stands as a word in the question, else the first alias in it whose ticker exists, else null."""
-    up = F.upper("question")
+    """(qid, scope): the first ticker in order that stands as a word in the question, else the first alias in it whose ticker exists, else null.
+
+    A question meets only tickers whose first run of word characters is one of its own (tickers without any: all questions).
+    """
+    up, run = F.upper("question"), r"[A-Za-z0-9_]+"
     names = tickers.select("ticker").distinct()
-    by_word = questions.join(F.broadcast(names), F.rlike(up, F.concat(F.lit(r"\b\Q"), "ticker", F.lit(r"\E\b"))))
+    keyed = names.withColumn("key", F.regexp_extract("ticker", run, 0))
+    keys = F.array_distinct(F.concat(F.regexp_extract_all(up, F.lit(run), F.lit(0)), F.array(F.lit(""))))
+    by_word = questions.select("qid", up.alias("up"), F.explode(keys).alias("key")).join(keyed, "key")
+    by_word = by_word.where(F.rlike("up", F.concat(F.lit(r"\b\Q"), "ticker", F.lit(r"\E\b"))))
     found = by_word.select("qid", F.lit(0).alias("tier"), F.lit(0).alias("place"), "ticker")
     if aliases:
         rows = [(i, name, t) for i, (name, t) in enumerate(aliases.items())]
@@ -130,6 +172,64 @@ def overlap_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(lexical_overlap(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
 
 
+def best_of(ids, at, s, k: int):
+    """An Arrow batch (qid, ord, score) of the k largest of each column of s (rows: at, columns: ids); ties to the lower of at, never a -inf."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(at)
+    edge = np.partition(s, n - k, axis=0)[n - k] if n > k else -np.inf
+    i, j = np.nonzero((s >= edge) & (s > -np.inf))
+    order = np.lexsort((at[i], -s[i, j], j))
+    i, j = i[order], j[order]
+    first = np.arange(len(j)) - np.searchsorted(j, j) < k
+    i, j = i[first], j[first]
+    return pa.RecordBatch.from_arrays([pa.array(ids[j], pa.int64()), pa.array(at[i], pa.int64()), pa.array(s[i, j])], names=["qid", "ord", "score"])
+
+
+def in_blocks(queries: DataFrame, column: str, rows: DataFrame, found, *also: str) -> DataFrame:
+    """(qid, ord, score) of found(block, batches) for each block of the queries, (qid, column, *also), and rows (ord, column, ...)."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        block = spark.sparkContext.broadcast([tuple(r) for r in own.select("qid", column, *also).orderBy("qid").collect()])  # about BLOCK vectors
+
+        def run(batches, block=block):
+            if block.value:
+                yield from found(block.value, (x for x in batches if x.num_rows))
+
+        part = rows.mapInArrow(run, "qid long, ord long, score double")
+        parts = part if parts is None else parts.union(part)
+    return parts
+
+
+def matched(k: int):
+    """What in_blocks runs on sparse vectors of nonnegative weights: cosines, six digits, of pairs with a common bucket."""
+
+    def found(block, batches):
+        import numpy as np
+
+        q = np.zeros((len(block), DIM))
+        for i, (_, v) in enumerate(block):
+            for x in v:
+                q[i, x["bucket"]] = x["w"]
+        q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-12
+        ids = np.array([r[0] for r in block])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                v, at = part.column("v"), np.asarray(part.column("ord"))
+                flat, m = v.flatten(), np.zeros((part.num_rows, DIM))
+                m[np.repeat(np.arange(part.num_rows), np.asarray(v.value_lengths())), np.asarray(flat.field("bucket"))] = np.asarray(flat.field("w"))
+                m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-12
+                s = m @ q.T
+                yield best_of(ids, at, np.where(s > 0, np.round(s, 6), -np.inf), k)
+
+    return found
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """(qid, ord, score, rank): the k nearest vectors by inner product for each query, exact.
 
@@ -137,43 +237,21 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, same: str | None =
     blocks of BLOCK; a task keeps the k best of each batch, so k rows a query and batch are shuffled. With
     `same`, only vectors whose column of that name equals the query's scope count.
     """
-    spark, n = vectors.sparkSession, queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    parts = []
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = own.select("qid", "embedding", *(["scope"] if same else [])).orderBy("qid").collect()
-        held = spark.sparkContext.broadcast([(r["qid"], list(r["embedding"]), r["scope"] if same else None) for r in rows])
-
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            block = held.value
-            if not block:
-                return
-            ids = np.array([r[0] for r in block])
-            q = np.array([r[1] for r in block], dtype=np.float64)
-            scopes = np.array([r[2] for r in block]) if same else None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                at = np.asarray(batch.column("ord"))
-                m = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                s = np.round(m @ q.T, 6)
-                if same:
-                    s = np.where(np.asarray(batch.column(same).to_pylist())[:, None] == scopes[None, :], s, -np.inf)
-                best = np.lexsort((np.broadcast_to(at[:, None], s.shape), -s), axis=0)[:k]
-                picked = np.take_along_axis(s, best, axis=0)
-                ok = picked.ravel() > -np.inf
-                cols = (np.broadcast_to(ids, picked.shape).ravel()[ok], at[best].ravel()[ok], picked.ravel()[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], names=["qid", "ord", "score"])
-
-        parts.append(vectors.select("ord", "embedding", *([same] if same else [])).where("embedding is not null").mapInArrow(run, "qid long, ord long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return top(out, k)
+
+    def found(block, batches):
+        import numpy as np
+
+        ids, q = np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
+        scopes = np.array([r[2] for r in block]) if same else None
+        for batch in batches:
+            m = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            s = np.round(m @ q.T, 6)
+            if same:
+                s = np.where(np.asarray(batch.column(same).to_pylist())[:, None] == scopes[None, :], s, -np.inf)
+            yield best_of(ids, np.asarray(batch.column("ord")), s, k)
+
+    rows = vectors.select("ord", "embedding", *([same] if same else [])).where("embedding is not null")
+    return top(in_blocks(queries, "embedding", rows, found, *(["scope"] if same else [])), k)
 
 
 def diversified(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:

@@ -53,8 +53,7 @@ def bm25_postings(spark, d):
 
 @query
 def bm25_idf(spark, d):
-    p = passages(spark, d)
-    return search.idf(search.postings(p), p).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(passages(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -82,7 +81,7 @@ def dense_scoped_topk(spark, d):
 
 @query
 def tfidf_sparse_topk(spark, d):
-    return search.top(search.tfidf_scores(questions(spark, d), passages(spark, d)), 5)
+    return search.tfidf_top(questions(spark, d), passages(spark, d), 5)
 
 
 @query
@@ -175,8 +174,8 @@ def hit_sets(spark, d) -> DataFrame:
     q, p = questions(spark, d), passages(spark, d)
     lead = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("lead"))
     out = None
-    for name, scored in (("bm25", search.bm25(q, p)), ("tfidf", search.tfidf_scores(q, p))):
-        rows = search.top(scored, 5).join(p.select("ord", "text"), "ord").join(lead, "qid").groupBy("qid").agg(F.max(F.contains("text", F.col("lead")).cast("int")).alias("hit"))
+    for name, best in (("bm25", search.top(search.bm25(q, p), 5)), ("tfidf", search.tfidf_top(q, p, 5))):
+        rows = best.join(p.select("ord", "text"), "ord").join(lead, "qid").groupBy("qid").agg(F.max(F.contains("text", F.col("lead")).cast("int")).alias("hit"))
         own = q.select("qid").join(rows, "qid", "left").select(F.lit(name).alias("config"), "qid", (F.col("qid") % 4).cast("string").alias("tag"), F.coalesce("hit", F.lit(0)).alias("hit"))
         out = own if out is None else out.union(own)
     return out
