@@ -70,16 +70,16 @@ def bucket(term) -> F.Column:
 
 
 def tfidf_weights(rows: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(id, bucket, w) from (id, term, tf); unknown terms have idf 1."""
+    """(id, bucket, w) from (id, term, tf) and (term, idf, place: its bucket); unknown terms have idf 1."""
     w = (1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))
-    return rows.join(idfs, "term", "left").groupBy("id", bucket(F.col("term")).alias("bucket")).agg(F.sum(w).alias("w"))
+    return rows.join(idfs, "term", "left").groupBy("id", F.coalesce("place", bucket(F.col("term"))).alias("bucket")).agg(F.sum(w).alias("w"))
 
 
 def tfidf_parts(questions: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The weights of the questions and of the passages."""
     term_rows = lambda df, i, c: df.select(F.col(i).alias("id"), F.explode(plain_tokens(F.col(c))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = F.broadcast(passages.agg(F.count("*").alias("n")))
-    weighed = lambda df: df.crossJoin(n).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = lambda df: df.crossJoin(n).select("term", bucket(F.col("term")).alias("place"), (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     asked, rows = term_rows(questions, "qid", "question"), term_rows(passages, "ord", "text")
     terms = document_frequencies(passages.select(plain_tokens(F.col("text")).alias("terms")))
     return tfidf_weights(asked, weighed(terms)), tfidf_weights(rows, weighed(counted(rows)))
