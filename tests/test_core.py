@@ -110,3 +110,20 @@ def test_a_question_without_hits_abstains(spark):
     found = ladder.hits(ladder.LADDER[4], questions, passages, scope).collect()
     assert [(r.ord, r.abstain) for r in found if r.qid == 2] == [(None, True)]
     assert [r.abstain for r in found if r.qid == 1][0] is False and {r.config for r in found} == {"V4"}
+
+
+def test_tfidf_top_is_the_top_of_all_pairs(spark, monkeypatch):
+    texts = ["red fox", "red red fox", None, "", "blue sea fox", "sea", "red fox"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord long, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "sea of blue"), (3, "none of it"), (4, ""), (5, None)], "qid long, question string")
+    monkeypatch.setattr(search, "BLOCK", 2)
+    rows = lambda df: sorted((r.qid, r.rank, r.ord, r.score) for r in df.collect())
+    for k in (1, 2, 10):
+        assert rows(search.tfidf_top(asked, docs, k)) == rows(search.top(search.tfidf_scores(asked, docs), k))
+
+
+def test_resolved_meets_tickers_by_words(spark):
+    asked = spark.createDataFrame([(1, "what of brk.b?"), (2, "abcd"), (3, "AB-C, then ZZ"), (4, None), (5, "the company Acme")], "qid long, question string")
+    names = spark.createDataFrame([("BRK.B",), ("ABC",), ("ZZ",), ("AB-C",)], "ticker string")
+    got = {r.qid: r.scope for r in search.resolved(asked, names, {"ACME": "ZZ", "WHAT": "NONE"}).collect()}
+    assert got == {1: "BRK.B", 2: None, 3: "AB-C", 4: None, 5: "ZZ"}
