@@ -42,6 +42,35 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of an Arrow batch, in the form of Spark's settings.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH in this session; Spark's own bounds, 10000 rows and 64 MB, let one batch hold all of a task's texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def released() -> None:
+    """Gives the memory that this Python process has freed back to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """run, a function of batches, with released() once a task has ended: Spark keeps Python workers, with all they hold, for later tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        released()
+
+    return whole
+
+
 def fold(mod: int, doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the decimal doc_id, modulo mod; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % mod
@@ -109,8 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
 def per_text(work: Callable[[], Callable[[list], pa.Array]], returns: str):
     """A column function of one text column: work() is called once a task and gives a function of a list of texts."""
 
-    @F.arrow_udf(returns)
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(parts):
         import numpy as np
         import pyarrow.compute as pc
 
@@ -124,6 +152,10 @@ def per_text(work: Callable[[], Callable[[list], pa.Array]], returns: str):
                 start = stop
             yield pa.concat_arrays(got) if got else each([])
 
+    @F.arrow_udf(returns)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from frugal(scored)(parts)
+
     return run
 
 

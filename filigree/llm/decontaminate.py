@@ -28,7 +28,7 @@ import pickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import slices, stored
+from filigree.llm.common import dropped, frugal, slices, stored
 
 SIZE, SLACK, BLOCK = 13, 2, 4_000_000
 #: Contract: a document is contaminated if at least a twentieth of its words are hit.
@@ -81,7 +81,7 @@ def index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["segment", "doc_ids", "k1", "k2", "n_words", "terms", "lens", "steps"])
             number += 1
 
-    return stored(keys.mapInArrow(run, f"segment long, doc_ids array<{kind}>, k1 array<long>, k2 array<long>, n_words array<int>, terms binary, lens binary, steps binary"))
+    return stored(keys.mapInArrow(frugal(run), f"segment long, doc_ids array<{kind}>, k1 array<long>, k2 array<long>, n_words array<int>, terms binary, lens binary, steps binary"))
 
 
 def term_counts(found: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
@@ -102,7 +102,7 @@ def term_counts(found: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
                         total[word] += int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    got = found.select("terms", "lens").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = found.select("terms", "lens").mapInArrow(frugal(run), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r["term"]): r["n"] for r in got.collect()}  # at most the terms of one block
 
 
@@ -244,11 +244,14 @@ def searched(found: DataFrame, block: dict, slack: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), text, text, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["segment", "ord", "items", "near", "ranges", "whole"])
 
-    return found.select("segment", "terms", "lens", "steps", "n_words").mapInArrow(run, "segment long, ord int, items array<string>, near array<string>, ranges array<struct<s:int,e:int>>, whole boolean")
+    return found.select("segment", "terms", "lens", "steps", "n_words").mapInArrow(frugal(run), "segment long, ord int, items array<string>, near array<string>, ranges array<struct<s:int,e:int>>, whole boolean")
 
 
 def found_in(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slack: int = SLACK) -> DataFrame:
-    """(doc_id, k1, k2, n_words, n_hit, items, near, whole) of each document; k1, k2: hashes of its text."""
+    """(doc_id, k1, k2, n_words, n_hit, items, near, whole) of each document; k1, k2: hashes of its text.
+
+    Its attribute _reads has the stored tables that it reads: who has stored what they need of it may drop them.
+    """
     found, parts = index(docs), []
     for items in item_blocks(benchmark):
         split = splitter()
@@ -260,7 +263,9 @@ def found_in(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slack: int
     base = found.select("segment", each).select("segment", "ord", F.col("d.doc_ids").alias("doc_id"), "d.k1", "d.k2", F.col("d.n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     if not parts:
-        return base.select("doc_id", "k1", "k2", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near"), F.lit(False).alias("whole"))
+        out = base.select("doc_id", "k1", "k2", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near"), F.lit(False).alias("whole"))
+        out._reads = [found]
+        return out
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.union(part)
@@ -268,7 +273,9 @@ def found_in(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slack: int
     places = F.transform(F.flatten(F.collect_list("ranges")), lambda r: F.sequence(r["s"], r["e"] - 1))
     hits = hits.groupBy("segment", "ord").agg(one("items").alias("items"), one("near").alias("near"), F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_hit"), F.max("whole").alias("whole"))
     out = base.join(hits, ["segment", "ord"], "left")
-    return out.select("doc_id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = out.select("doc_id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    out._reads = [found, *parts]
+    return out
 
 
 def contaminated():
@@ -282,7 +289,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slack
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """docs without those that hold a whole window of `size` words of an item, however long they are, and without those a twentieth of whose words are hit by shorter items; columns stay as they are."""
-    bad = found_in(docs, benchmark, size).where(F.col("whole") | contaminated())
+    found = found_in(docs, benchmark, size)
+    bad = found.where(F.col("whole") | contaminated())
     bad = stored(bad.select(F.col("k1").alias("filigree_k1"), F.col("k2").alias("filigree_k2")).distinct())
+    for read in found._reads:
+        dropped(read)
     same = (F.xxhash64("text") == F.col("filigree_k1")) & (F.xxhash64(F.lit(7), F.col("text")) == F.col("filigree_k2"))
     return docs.join(bad, same, "left_anti")

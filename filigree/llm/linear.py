@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import WordIds, per_text
+from filigree.llm.common import WordIds, frugal, per_text
 
 BITS, ROWS, EPOCHS = 18, 6000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.0
@@ -169,7 +169,7 @@ def trained(sample: DataFrame, classes: int = 1, bits: int = BITS, epochs: int =
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([ftrl(rows, classes, bits, epochs, alpha, l1).tobytes()], pa.binary())], names=["n", "weights"])
 
     one = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("by")).repartition(1).sortWithinPartitions("by")
-    got = one.select("text", "y").mapInArrow(run, "n long, weights binary").collect()
+    got = one.select("text", "y").mapInArrow(frugal(run), "n long, weights binary").collect()
     if not got:
         return Linear(np.zeros((classes, 1 << bits), np.float32), 0, features)
     return Linear(np.frombuffer(got[0]["weights"], np.float32).reshape(classes, 1 << bits), got[0]["n"], features)

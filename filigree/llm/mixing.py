@@ -36,7 +36,7 @@ ROWS, STEPS, CLOSE = 6000, 24, 1e-4
 #: No document is repeated more than so often.
 MOST = 4.0
 #: Columns of our own, of names that no input has.
-MARK, COUNT = "filigree_m_4e1f", "filigree_n_4e1f"
+MARK, COUNT, HASHED = "filigree_m_4e1f", "filigree_n_4e1f", "filigree_h_4e1f"
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -155,9 +155,13 @@ def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, ceiling: float =
     model = classifier(docs, labels)
     if not model.rows:
         return docs
-    scored = stored(with_posteriors(docs, model))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias(HASHED))
+    scored = stored(with_posteriors(texts, model).drop("text"))
     r = rate(F.col(MARK)["p"], fitted(scored, targets, ceiling).moves, ceiling)
-    n = scored.select(*docs.columns, copies("doc_id", r).alias(COUNT)).where(F.col(COUNT) > 0)
+    n = scored.groupBy("doc_id", HASHED).agg(F.first(MARK).alias(MARK)).select("doc_id", HASHED, copies("doc_id", r).alias(COUNT)).where(F.col(COUNT) > 0)
+    # Texts are not written a second time: each row finds its copies by doc_id and the hash of its text.
+    same = docs["doc_id"].eqNullSafe(n["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(n[HASHED])
     if ceiling <= 1:
-        return n.select(*docs.columns)
-    return n.withColumn(COUNT, F.explode(F.sequence(F.lit(1), COUNT))).select(*docs.columns)
+        return docs.join(n, same, "left_semi")
+    kept = docs.join(n, same).select(*[docs[c] for c in docs.columns], COUNT)
+    return kept.withColumn(COUNT, F.explode(F.sequence(F.lit(1), COUNT))).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigree.llm.common import components, dropped, slices, stored
+from filigree.llm.common import components, dropped, frugal, slices, stored
 
 RADIUS, WIDTH, TILE = 2, 3, 4096
 #: Near copies by similarity of shingles: words a shingle, similarity as a fraction, bits, keys of a set, minima of a key, shingles of a tile.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = pa.array([fingerprint(t or b"", width) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), fps], names=[*kept, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*(docs.schema[c] for c in kept), T.StructField("fp", T.LongType())]))
 
 
 def forest(fps, tiles, radius: int, step: int = 512):
@@ -157,7 +157,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    return groups.select("lo", "hi", "fps", "tiles").mapInArrow(run, "a long, b long")
+    return groups.select("lo", "hi", "fps", "tiles").mapInArrow(frugal(run), "a long, b long")
 
 
 def _named(docs: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
@@ -188,9 +188,14 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
     return rows_of(docs, keys.select(F.col("key.doc_id").alias("kept_id"), F.col("key.hashed").alias("kept_hash"), F.col("key.n").alias("kept_n")))
 
 
-def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of docs for each of keys (kept_id, kept_hash: of its text, kept_n: how many rows have both)."""
+def rows_of(docs: DataFrame, keys: DataFrame, *scratch: DataFrame) -> DataFrame:
+    """One row of docs for each of keys (kept_id, kept_hash: of its text, kept_n: how many rows have both).
+
+    scratch: stored tables that only keys reads; they go.
+    """
     keys = stored(keys)
+    for read in scratch:
+        dropped(read)
     hashed = F.xxhash64("text")
     same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & hashed.eqNullSafe(keys["kept_hash"])
     once = docs.join(keys.where("kept_n = 1"), same, "left_semi")
@@ -236,7 +241,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(keys_of(found) if len(found) else [])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*kept, "sid", "keys"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(frugal(run), T.StructType([*(docs.schema[c] for c in kept), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 class Sets:
@@ -350,7 +355,7 @@ def exact_links(sets: DataFrame, share: tuple[int, int], wide: int, tile: int) -
                         a, b = np.array(pairs).T
                         yield pa.RecordBatch.from_arrays([pa.array(sids[a]), pa.array(sids[b])], names=["a", "b"])
 
-    return groups.select("sets").mapInArrow(run, "a long, b long")
+    return groups.select("sets").mapInArrow(frugal(run), "a long, b long")
 
 
 def candidate_blocks(sets: DataFrame) -> DataFrame:
@@ -382,7 +387,8 @@ def near_copies_dropped(docs: DataFrame, width: int = NEAR_WIDTH, share: tuple[i
     marks = stored(shingle_sets(docs.select("doc_id", "text", hashed.alias("hashed")), width))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hashed")
     sets = stored(marks.groupBy("sid").agg(F.min(place).alias("place"), F.first("keys").alias("keys")))
-    found = stored(sets.select("sid", "place").join(candidate_blocks(sets), "sid").select("sid", "block", F.col("place.doc_id").alias("set_id"), F.col("place.hashed").alias("set_hash")))
+    blocks = candidate_blocks(sets)
+    found = stored(sets.select("sid", "place").join(blocks, "sid").select("sid", "block", F.col("place.doc_id").alias("set_id"), F.col("place.hashed").alias("set_hash")))
     texts = docs.select("doc_id", "text").join(found, hashed.eqNullSafe(F.col("set_hash")) & F.col("doc_id").eqNullSafe(F.col("set_id"))).select("block", "sid", "text")
 
     def run(batches):
@@ -394,9 +400,9 @@ def near_copies_dropped(docs: DataFrame, width: int = NEAR_WIDTH, share: tuple[i
             fps = [majority(x) for x in found]
             yield pa.RecordBatch.from_arrays([part.column("block"), part.column("sid"), pa.array(fps, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["block", "sid", "fp", "grams"])
 
-    grams = stored(texts.mapInArrow(run, "block long, sid long, fp long, grams array<long>"))
+    grams = stored(texts.mapInArrow(frugal(run), "block long, sid long, fp long, grams array<long>"))
     roots = components(exact_links(grams, share, wide, tile)).withColumnRenamed("node", "sid")
     first = sets.select("sid", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     first = first.groupBy("root").agg(F.min("place").alias("place")).select("place")
     keys = marks.groupBy(place.alias("place")).agg(F.count("*").alias("n")).join(first, "place", "left_semi")
-    return rows_of(docs, keys.select(F.col("place.doc_id").alias("kept_id"), F.col("place.hashed").alias("kept_hash"), F.col("n").alias("kept_n")))
+    return rows_of(docs, keys.select(F.col("place.doc_id").alias("kept_id"), F.col("place.hashed").alias("kept_hash"), F.col("n").alias("kept_n")), marks, sets, blocks, found, grams)

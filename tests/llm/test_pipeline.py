@@ -31,3 +31,31 @@ def test_stages_work_on_what_is_left(spark):
             split = lambda t: WORD.findall((t or "").encode().lower())
             bad = {r.doc_id for r in before.collect() if any(tuple(w[k : k + 13]) in windows for w in [split(r.text)] for k in range(len(w)))}
             assert bad and ids == {r.doc_id for r in before.select("doc_id").collect()} - bad
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    setting, none = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0)
+    spark.conf.unset(setting)
+    try:
+        corpus_pipeline.keep_quality(spark, none.selectExpr("id doc_id", "'' text"), SF)
+        wide = spark.range(3000).coalesce(1).selectExpr("repeat('long text ', 1000) text")
+        assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) < 5 << 20
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_stages_keep_no_index_and_no_second_copy_of_texts(spark, tmp_path, monkeypatch):
+    from filigree.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    docs = table(spark, SF, "documents")
+    for stage in (corpus_pipeline.keep_one_of_near_copies, corpus_pipeline.drop_contaminated, corpus_pipeline.mix):
+        stage(spark, docs, SF).count()
+        left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+        assert not [c for c in left if {"text", "grams", "keys", "terms"} & set(c)], (stage, left)
