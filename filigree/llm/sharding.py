@@ -12,7 +12,7 @@ single documents at both ends of each shard, is cut at the exact quotas, so that
 Slots are gapless from 0 in each shard.
 
 Null text: no bytes, linked with other null texts. Null doc_id or repeated rows: rows of their own. Empty
-table: empty result. Other columns are ignored. The outcome is a function of the rows alone.
+table: empty result. Other columns are ignored, or kept by laid_out(). The outcome is a function of the rows alone.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ def unit(*cols) -> Column:
 
 
 def nodes(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, hub, first) of each document; first: where it starts."""
+    """(doc_id, size, text_crc32, hashed, hub, first) of each document; first: where it starts."""
     text = F.col("text")
     out = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.xxhash64(text).alias("hashed"),
         (hub if hub is not None else F.xxhash64(text)).alias("hub"),
     )
     return out.withColumn("first", F.pmod(F.xxhash64(F.lit(3), "doc_id", "hub"), F.lit(shards)).cast("int"))
@@ -76,8 +77,8 @@ def propagated(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
     return state
 
 
-def sharded(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each document."""
+def assigned(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, size, text_crc32, hashed, law, shard, slot, grown_shard) for each document; hashed: of its text."""
     spark = docs.sparkSession
     found = stored(nodes(docs, hub, shards))
     total = found.count()
@@ -98,15 +99,44 @@ def sharded(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, ro
     placed = placed.withColumn("place", F.coalesce("at", F.least(gap, F.lit(shards - 1))))
     bits = F.xxhash64("doc_id", "text_crc32", "size")
     bucket = (F.col("place") * 3 + side) * RANGES + F.shiftrightunsigned(bits, 64 - (RANGES.bit_length() - 1))
-    placed = placed.select("doc_id", "size", "text_crc32", bits.alias("bits"), bucket.cast("long").alias("bucket"))
+    placed = placed.select("doc_id", "size", "text_crc32", "hashed", bits.alias("bits"), bucket.cast("long").alias("bucket"))
     placed = stored(placed)
     # At most shards * 3 * RANGES rows, whatever the input: one task adds them up, and every task may have them.
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy("bits", "doc_id", "text_crc32", "size")) - 1
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("bits", "doc_id", "text_crc32", "size", "hashed")) - 1
     rank = F.col("rank")
     ranked = placed.withColumn("own", own).join(F.broadcast(before), "bucket").withColumn("rank", F.col("own") + F.col("before"))
     edge = more * (low + 1)
     shard = F.when(rank < edge, F.floor(rank / (low + 1))).otherwise(more + F.floor((rank - edge) / max(1, low)))
     slot = F.when(rank < edge, rank % (low + 1)).otherwise((rank - edge) % max(1, low))
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranked.select("doc_id", "size", "text_crc32", "hashed", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each document."""
+    return assigned(docs, hub, shards, rounds).drop("hashed")
+
+
+def laid_out(docs: DataFrame, hub: Column | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """The documents themselves in their shards: docs with size, text_crc32, law, shard, slot and grown_shard.
+
+    A row finds its place by doc_id and the hash of its text; rows that have both in common take their places in the
+    order of a hash of the whole row. Columns of docs that have one of these names give way to the new ones.
+    """
+    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    places = stored(assigned(docs, hub, shards, rounds).select(F.col("doc_id").alias("placed_id"), "hashed", F.struct(*added).alias("place")))
+    keys = stored(places.groupBy("placed_id", "hashed").agg(F.count("*").alias("n"), F.min("place").alias("place")))
+    docs = docs.drop(*added)
+    own = [docs[c] for c in docs.columns]
+    same = docs["doc_id"].eqNullSafe(keys["placed_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["hashed"])
+    once = docs.join(keys.where("n = 1"), same).select(*own, "place.*")
+    repeated = keys.where("n > 1").select("placed_id", "hashed")
+    if repeated.isEmpty():
+        return once
+    turn = lambda *by: F.row_number().over(Window.partitionBy("placed_id", "hashed").orderBy(*by))
+    mine = docs.join(repeated, same).select(*own, "placed_id", "hashed", turn(F.xxhash64(*own)).alias("turn"))
+    theirs = places.join(repeated.withColumnsRenamed({"placed_id": "one_id", "hashed": "one_hash"}), F.col("placed_id").eqNullSafe(F.col("one_id")) & (F.col("hashed") == F.col("one_hash")))
+    theirs = theirs.select(F.col("placed_id").alias("its_id"), F.col("hashed").alias("its_hash"), "place", turn("place.shard", "place.slot").alias("its_turn"))
+    met = F.col("placed_id").eqNullSafe(F.col("its_id")) & (F.col("hashed") == F.col("its_hash")) & (F.col("turn") == F.col("its_turn"))
+    return once.union(mine.join(theirs, met).select(*docs.columns, "place.*"))

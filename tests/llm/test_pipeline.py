@@ -33,6 +33,15 @@ def test_stages_work_on_what_is_left(spark):
             assert bad and ids == {r.doc_id for r in before.select("doc_id").collect()} - bad
 
 
+def test_the_result_is_the_documents_in_their_shards(spark):
+    docs = table(spark, SF, "documents").limit(90)
+    got = stored(corpus_pipeline.shard(spark, docs, SF))
+    assert got.select(*docs.columns).exceptAll(docs).isEmpty() and docs.exceptAll(got.select(*docs.columns)).isEmpty()
+    rows = got.groupBy("shard").count().collect()
+    assert len(rows) == 40 and sorted({r["count"] for r in rows}) == [2, 3]
+    assert got.select("shard", "slot").distinct().count() == 90
+
+
 def test_batches_are_bounded_in_bytes(spark):
     import pyarrow as pa
 
@@ -59,3 +68,14 @@ def test_stages_keep_no_index_and_no_second_copy_of_texts(spark, tmp_path, monke
         stage(spark, docs, SF).count()
         left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
         assert not [c for c in left if {"text", "grams", "keys", "terms"} & set(c)], (stage, left)
+
+
+def test_mixed_rows_are_those_of_the_copies(spark):
+    from filigree.llm import mixing
+
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "no id"), (None, None), (1, "another text"), (1, "another text"), (7, None)], "doc_id long, text string")
+    docs, labels = stored(docs.union(odd)), table(spark, SF, "labels")
+    told = mixing.mixture(docs, labels).select("doc_id", "copies").collect()
+    want = sorted(str(r.doc_id) for r in told for _ in range(r.copies))
+    assert sorted(str(r.doc_id) for r in mixing.mixed(docs, labels, ceiling=mixing.MOST).collect()) == want

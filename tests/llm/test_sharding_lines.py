@@ -51,6 +51,18 @@ def test_no_shard_is_lifted_beyond_its_quota(spark):
     assert len({(r.hub, r.shard) for r in found}) < 0.7 * len(linked)
 
 
+def test_documents_come_with_their_places(spark):
+    rows = [(i, t, f"en{i}", 1) for i, t in corpus()] + [(None, None, "de", 2), (5, "again", "es", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, shard int")
+    got = sharding.laid_out(docs, shards=7)
+    assert got.columns == ["doc_id", "text", "lang", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = got.collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.lang) for r in got))) == sorted(str(r[:3]) for r in rows)
+    places = lambda rs: sorted(str((r.doc_id, r.size, r.text_crc32, r.shard, r.slot)) for r in rs)
+    assert places(got) == places(sharding.sharded(docs, shards=7).collect())
+    assert sharding.laid_out(docs.limit(0), shards=7).count() == 0
+
+
 def test_fewer_rows_than_shards_and_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
     got = sharding.sharded(docs).collect()
