@@ -19,6 +19,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,22 +28,37 @@ from pyspark.sql import types as T
 from filigree.llm.common import components, dropped, frugal, slices, stored
 
 RADIUS, WIDTH, TILE = 2, 3, 4096
+#: Bytes of a text whose words are held at once, and where a text may be cut.
+PART, SPACE = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")
 #: Near copies by similarity of shingles: words a shingle, similarity as a fraction, bits, keys of a set, minima of a key, shingles of a tile.
 NEAR_WIDTH, SHARE, WIDE, BANDS, ROWS, NEAR_TILE = 5, (4, 5), 28, 30, 4, 1 << 18
 
 
+def word_lists(data: bytes):
+    """Lower-cased words of one UTF-8 text, a list for each PART bytes (a longer word stays whole)."""
+    at = 0
+    while at < len(data):
+        space = SPACE.search(data, at + PART)
+        end = space.start() if space else len(data)
+        yield data[at:end].lower().split()
+        at = end
+
+
 def shingle_hashes(data: bytes, width: int):
-    """XXH64 of the shingles of one UTF-8 text, repeats included."""
+    """XXH64 of the shingles of one UTF-8 text, repeats included; words and shingles are held for one part at a time."""
     import numpy as np
     import xxhash
 
-    words = data.lower().split()
-    if len(words) < width:
-        shingles = [b" ".join(words)] if words else []
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    digest, found, last = xxhash.xxh64_intdigest, [], []
+    for words in word_lists(data):
+        words = last + words
+        last = words[max(0, len(words) - width + 1) :]
+        if len(words) >= width:
+            shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+            found.append(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+    if found:
+        return np.concatenate(found)
+    return np.array([digest(b" ".join(last), 42)] if last else [], dtype=np.uint64)
 
 
 def majority(hashes) -> int:

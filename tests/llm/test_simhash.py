@@ -86,3 +86,25 @@ def test_forest_links_all_that_are_near():
     fps = np.array([base, base ^ np.uint64(1), base ^ np.uint64(7), base ^ np.uint64(0xFFFF)], np.uint64)
     a, b = simhash.forest(fps, np.zeros(4, np.int64), 2)
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((0, 1)), frozenset((1, 2))}
+
+
+def test_long_texts_are_shingled_part_by_part():
+    """Cut between words only, shingles across cuts included, and memory that is not many times that of the text."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    size = getattr(simhash, "PART", 1 << 18)
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    long = "".join(f"Wörd{rng.randrange(9000)}" + rng.choice(spaces) for _ in range(3 * size // 8))
+    for text in (long, " " * (2 * size) + "a b", "x" * (size + 5) + " y " + "z" * size, "a" + " " * (2 * size) + "b", " " * (2 * size), ""):
+        for width in (1, 3, 5):
+            words = text.encode().lower().split()
+            grams = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+            assert simhash.shingle_hashes(text.encode(), width).tolist() == [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    data = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200_000)) + " ").encode() * 4
+    tracemalloc.start()
+    try:
+        simhash.shingle_hashes(data, 5)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(data)
+    finally:
+        tracemalloc.stop()
